@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, linededup, mixing
+from . import chat, decontam, linededup, mixing, quality_rules
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
         "op2_mix": mixing.op2_mix,
+        "op3_decontaminate": decontam.op3_decontaminate,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_line_dedup": linededup.op7_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL, where SQL can express the query."""
-    return {"op1_chat_format": chat.OP1_SQL, "op2_mix": mixing.OP2_SQL, "op7_line_dedup": linededup.OP7_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op2_mix": mixing.OP2_SQL, "op3_decontaminate": decontam.OP3_SQL, "op7_line_dedup": linededup.OP7_SQL}
