@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, linededup, mixing, quality_rules
+from . import chat, decontam, linededup, minhash, mixing, quality_rules
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_decontaminate": decontam.op3_decontaminate,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_line_dedup": linededup.op7_line_dedup,
+        "op9_minhash_dedup": minhash.op9_minhash_dedup,
     }
 
 
