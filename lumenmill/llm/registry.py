@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, linededup, minhash, mixing, quality_clf, quality_rules
+from . import chat, decontam, linededup, minhash, mixing, quality_clf, quality_rules, warc
 
 
 def queries() -> dict:
@@ -15,9 +15,10 @@ def queries() -> dict:
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_line_dedup": linededup.op7_line_dedup,
         "op9_minhash_dedup": minhash.op9_minhash_dedup,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL, where SQL can express the query."""
-    return {"op1_chat_format": chat.OP1_SQL, "op2_mix": mixing.OP2_SQL, "op3_decontaminate": decontam.OP3_SQL, "op7_line_dedup": linededup.OP7_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op2_mix": mixing.OP2_SQL, "op3_decontaminate": decontam.OP3_SQL, "op7_line_dedup": linededup.OP7_SQL, "op10_warc": warc.OP10_SQL}
