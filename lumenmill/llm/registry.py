@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, linededup, minhash, mixing, quality_clf, quality_rules, warc
+from . import chat, decontam, linededup, minhash, mixing, quality_clf, quality_rules, secret_scan, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality_classifier": quality_clf.op5_quality_classifier,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_line_dedup": linededup.op7_line_dedup,
+        "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_minhash_dedup": minhash.op9_minhash_dedup,
         "op10_warc": warc.op10_warc,
     }
