@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, linededup, minhash, mixing, quality_clf, quality_rules, secret_scan, warc
+from . import chat, decontam, linededup, minhash, mixing, quality_clf, quality_rules, secret_scan, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_chat_format": chat.op1_chat_format,
         "op2_mix": mixing.op2_mix,
         "op3_decontaminate": decontam.op3_decontaminate,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_quality_classifier": quality_clf.op5_quality_classifier,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_line_dedup": linededup.op7_line_dedup,
