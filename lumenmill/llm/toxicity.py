@@ -2,7 +2,7 @@
 
 Writers hide words by look-alike characters, by spacing letters out and by repeating them. A token that shows such signs
 becomes a lattice: each place offers the letters it may stand for, at a cost. The Viterbi path under a character
-trigram model of ordinary words is the restored text. Restored words are looked up by their 5-character grams, word
+model of ordinary words is the restored text. Restored words are looked up by their 5-character grams, word
 boundaries included, whose evidence is the log of how much more often toxic texts have them. A logistic curve over the
 strongest words and their density gives the score.
 
@@ -36,6 +36,7 @@ STRONG = 1.0
 CACHE = 200_000
 #: Letters decoded at once.
 CHUNK = 64
+START, BACK_OFF = "^^^^^", 4.0
 # What look-alike characters may stand for.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -50,27 +51,26 @@ _RUNS = re.compile(r"(.)\1*", re.DOTALL)
 
 
 class CharModel:
-    """A character trigram model with back-off to bigrams and single characters; ``^`` is the word boundary."""
+    """A character model of five-letter memory that backs off to shorter contexts; ``^`` is the word boundary."""
 
     def __init__(self, words: Counter):
-        self.tri, self.bi, self.uni, self.ctx, self.total = Counter(), Counter(), Counter(), Counter(), 0
+        self.seen, self.context = Counter(), Counter()
         for word, n in words.items():
-            z = "^^" + word + "^"
-            for i in range(2, len(z)):
-                self.tri[z[i - 2 : i + 1]] += n
-                self.bi[z[i - 1 : i + 1]] += n
-                self.ctx[z[i - 2 : i]] += n
-                self.uni[z[i]] += n
-                self.total += n
-        self.one = Counter()
-        for pair, n in self.bi.items():
-            self.one[pair[0]] += n
+            z = START + word + "^"
+            for i in range(len(START), len(z)):
+                for k in range(len(START) + 1):
+                    self.seen[z[i - k : i + 1]] += n
+                    self.context[z[i - k : i]] += n
 
     def cost(self, context: str, c: str) -> float:
         """-log P(c | context)."""
-        p1 = (self.uni[c] + 0.5) / (self.total + 200)
-        p2 = (self.bi[context[1] + c] + 5 * p1) / (self.one[context[1]] + 5)
-        return -math.log((self.tri[context + c] + 5 * p2) / (self.ctx[context] + 5))
+        p = 1 / 200
+        for k in range(len(context) + 1):
+            past = context[len(context) - k :]
+            if not (n := self.context[past]):
+                break
+            p = (self.seen[past + c] + BACK_OFF * p) / (n + BACK_OFF)
+        return -math.log(p)
 
 
 def lattice(token: str, *, spaced: bool = False) -> list[list[tuple[str, float]]]:
@@ -94,7 +94,7 @@ def lattice(token: str, *, spaced: bool = False) -> list[list[tuple[str, float]]
 
 def viterbi(places: list[list[tuple[str, float]]], model: CharModel) -> str:
     """The likeliest text of a lattice."""
-    states = {"^^": (0.0, "")}
+    states = {START: (0.0, "")}
     for choices in [*places, [("^", 0.0)]]:
         following: dict[str, tuple[float, str]] = {}
         for context, (cost, text) in states.items():
@@ -102,7 +102,7 @@ def viterbi(places: list[list[tuple[str, float]]], model: CharModel) -> str:
                 at, total = context, cost + extra
                 for c in piece:
                     total += model.cost(at, c)
-                    at = at[1] + c
+                    at = at[1:] + c
                 if at not in following or total < following[at][0]:
                     following[at] = (total, text + piece)
         states = following
@@ -191,7 +191,8 @@ def train(sample: list[tuple[str, int]]) -> Model:
         for token, k in count.items():
             if (core := token.strip(_EDGES)).isalpha() and not _REPEATED.search(core):
                 plain[core] += k
-    model = Model(CharModel(plain), {}, (), prior)
+    # words of one text add more entries than knowledge
+    model = Model(CharModel(Counter({w: k for w, k in plain.items() if k > 1}) or plain), {}, (), prior)
     if min(n[0], n[1]) < 8:
         return model
     seen = {y: Counter() for y in (0, 1)}
