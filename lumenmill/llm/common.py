@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,11 +72,24 @@ def _sweep() -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep the Arrow batches that go to Python small in rows and bytes."""
+    """Prepare for Python stages: this package goes to the executors, and Arrow batches stay small in rows and bytes."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def _ship(spark: SparkSession) -> None:
+    if getattr(spark.sparkContext, "_lumenmill_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="lumenmill-")) / "lumenmill.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(target))
+    spark.sparkContext._lumenmill_shipped = True
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a labelled row is kept from training: crc32 of the id's text is divisible by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
