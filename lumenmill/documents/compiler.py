@@ -144,7 +144,7 @@ def apply_update(df: DataFrame, hit: Column, change: dict) -> DataFrame:
 
 
 def _project(df: DataFrame, spec: dict) -> DataFrame:
-    if not any(v == 1 or isinstance(v, (dict, str)) for k, v in spec.items() if k != "_id"):
+    if not any(v == 1 or isinstance(v, (dict, str)) for k, v in spec.items() if k != "_id") and spec != {"_id": 1}:
         return df.drop(*[k for k, v in spec.items() if v == 0])
     out = [F.col("_id")] if spec.get("_id", 1) and "_id" in df.columns else []
     for k, v in spec.items():

@@ -115,6 +115,7 @@ def modulo(a: Column, b: Column) -> Column:
 
 def wrap_add(a: Column, b: Column) -> Column:
     """64-bit addition that wraps around, by adding the halves."""
+    a, b = a.cast("long"), b.cast("long")
     low = F.bitwise_not(F.lit(0).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))
     lo = a.bitwiseAND(low) + b.bitwiseAND(low)
     hi = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(lo, 32)

@@ -57,7 +57,7 @@ def field(x: Column, *items: Column) -> Column:
 
 def find_in_set(x: Column, items: Column) -> Column:
     """1-based place of x in a comma list whose items are trimmed, 0 if absent."""
-    return F.coalesce(F.array_position(F.transform(F.split(items, ","), F.trim), x), F.lit(0)).cast("long")
+    return F.coalesce(F.array_position(F.transform(F.split(items, ","), lambda i: F.trim(i)), x), F.lit(0)).cast("long")
 
 
 def date_format(d: Column, fmt: str) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def round_long(x: Column) -> Column:
@@ -49,25 +50,25 @@ def parse_literal(s: Column) -> Column:
 RADIX = {"hex": _prefixed("0x", 16), "bin": _prefixed("0b", 2), "oct": _prefixed("0o", 8), "toRadix": to_radix, "parseRadix": parse_radix}
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def float_to_int_bits(x: pd.Series) -> pd.Series:
     """The bits of a 32-bit float."""
     return pd.Series(x.to_numpy(np.float32).view(np.int32))
 
 
-@F.pandas_udf("float")
+@F.pandas_udf(T.FloatType())
 def int_bits_to_float(x: pd.Series) -> pd.Series:
     """The 32-bit float of some bits."""
     return pd.Series(x.to_numpy(np.int32).view(np.float32))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def double_to_long_bits(x: pd.Series) -> pd.Series:
     """The bits of a 64-bit float."""
     return pd.Series(x.to_numpy(np.float64).view(np.int64))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def long_bits_to_double(x: pd.Series) -> pd.Series:
     """The 64-bit float of some bits."""
     return pd.Series(x.to_numpy(np.int64).view(np.float64))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sqltext
+from . import operator_queries, sqltext
 
-_PARTS = (sqltext,)
+_PARTS = (sqltext, operator_queries)
 
 
 def queries() -> dict:
