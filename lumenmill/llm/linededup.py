@@ -7,7 +7,7 @@ document is a compressed keep bitmap: 64-line words, of which only those with a
 
 Edge cases: null or empty text is one empty line; an empty key (blank line) is never dropped; rows are named by
 (doc_id, hash of the text), and a null id is one id; repeated rows count as one document and are each returned; an empty
-table gives no rows; other columns are kept by :func:`apply_bitmaps`.
+table gives no rows; other columns are kept by :func:`apply_bitmaps`, but for those named as its own.
 """
 
 from __future__ import annotations
@@ -92,6 +92,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``."""
     marks = bitmaps.withColumnsRenamed({"doc_id": "_id", "row_hash": "_rh"})
+    docs = docs.drop("n_lines", "n_dropped", "kept_text", "drops")
     x = docs.withColumn("_hash", _row_hash()).join(
         marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_rh")), "left"
     )

@@ -11,7 +11,8 @@ totals are summed over a table of at most ``CELLS`` rows a source.
 
 Edge cases: null text has size 0; the null source is a source of its own, last in order; documents of size 0 are taken
 0 times; repeated rows are separate documents with equal keys, which are interchangeable; a null id is shuffled as
-the empty string; all sizes 0 or an empty table gives targets of 0; other columns are kept by :func:`emit`.
+the empty string; all sizes 0 or an empty table gives targets of 0; other columns are
+kept by :func:`emit`, but for those named as its own.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ def schedule(docs: DataFrame, seed: str = "") -> DataFrame:
     """Each document with size, its source's size and target, and ``before``: its source's words shuffled before it."""
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    docs = docs.drop("size", "source_size", "target", "before", "copy", "finish", "take")
     x = docs.withColumn("size", size).withColumn("_key", key).withColumn("_cell", F.substring("_key", 1, 3))
     inside = (
         W.partitionBy("source", "_cell").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, -1)

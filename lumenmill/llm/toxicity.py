@@ -106,7 +106,7 @@ def viterbi(places: list[list[tuple[str, float]]], model: CharModel) -> str:
                 if at not in following or total < following[at][0]:
                     following[at] = (total, text + piece)
         states = following
-    return min(states.values())[1]
+    return min(states.values())[1][:-1]
 
 
 class Model:
