@@ -59,7 +59,7 @@ def test_sliding(spark, engine):
             want[key] = want.get(key, 0) + 1
     assert rows == want
     one = windows.sliding(df, 5000, ["k"], {"n": F.count(F.lit(1))})
-    assert {r["id"]: r["n"] for r in one.collect()} == {i: min(i // 2 + 1, 3 if True else 0) for i in range(20)}
+    assert {r["id"]: r["n"] for r in one.collect()} == {i: min(i // 2 + 1, 3) for i in range(20)}
 
 
 def test_joins_and_lateness(spark):
