@@ -53,7 +53,15 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for df in written:
+        delete_path(df.sparkSession, df._scratch)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
