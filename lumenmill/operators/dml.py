@@ -88,11 +88,20 @@ def last_per_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def with_identity(rows: DataFrame, column: str, start: int, order: list[Column]) -> DataFrame:
-    """Numbers for rows whose identity is null, from ``start`` on; given values are kept."""
-    w = W.partitionBy(F.col(column).isNull()).orderBy(*order)
-    n = F.row_number().over(w) + (start - 1)
-    return rows.withColumn(column, F.coalesce(F.col(column), n.cast(rows.schema[column].dataType)))
+def with_identity(rows: DataFrame, column: str, start: int) -> DataFrame:
+    """Consecutive numbers from ``start`` on for rows whose identity is null; given values are kept.
+
+    Rows are numbered inside their partitions; only the partitions' sizes meet in one place.
+    """
+    new = rows.where(F.col(column).isNull()).withColumn("_id", F.monotonically_increasing_id()).persist()
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = new.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    kind = rows.schema[column].dataType
+    numbered = new.join(F.broadcast(offsets), part == F.col("_part"))  # a row a partition
+    numbered = numbered.withColumn(column, (F.col("_off") + place + start).cast(kind)).select(*rows.columns)
+    return rows.where(F.col(column).isNotNull()).unionByName(numbered)
 
 
 def check(table: DataFrame, c: Constraints, resolve) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .operators import dml
 from .operators.dml import Constraints, EngineError
-from .plans import dialects, statements
+from .plans import dialects, special, statements
 
 
 @dataclass
@@ -39,6 +39,7 @@ class Engine:
         self.indexes: dict[str, tuple[str, tuple[str, ...]]] = {}
         self.row_count = 0
         self.identity = 0
+        special.register(spark)
         self._saved: list[tuple[str | None, dict]] = []
 
     # --- catalog -------------------------------------------------------------------------
@@ -118,7 +119,7 @@ class Engine:
                 rows = rows.withColumn(c, (F.expr(default) if default else F.lit(None)).cast(t.rows.schema[c].dataType))
         rows = rows.select([F.col(c).cast(t.rows.schema[c].dataType).alias(c) for c in t.rows.columns])
         if t.rules.identity:
-            rows = dml.with_identity(rows, t.rules.identity, t.next_id, [F.monotonically_increasing_id()])
+            rows = dml.with_identity(rows, t.rules.identity, t.next_id)
             self.identity = rows.agg(F.max(t.rules.identity)).first()[0] or self.identity
             t.next_id = max(t.next_id, self.identity + 1)
         self.change(name, "INSERT", lambda old: old.unionByName(rows))
@@ -199,7 +200,7 @@ class Engine:
 
     def execute(self, text: str, args: list | None = None) -> DataFrame | None:
         """Run one statement of the session's dialect. Queries and RETURNING give a DataFrame, changes give None."""
-        return statements.run(self, dialects.rewrite(text, self.dialect, self), args)
+        return statements.run(self, special.rewrite(dialects.rewrite(text, self.dialect, self)), args)
 
     def script(self, text: str) -> DataFrame | None:
         """Run statements set apart by semicolons; returns the last result."""

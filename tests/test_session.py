@@ -157,3 +157,26 @@ def test_mysql(spark):
     assert rows(e.query("SELECT `id` FROM users_m ORDER BY id LIMIT 1, 2")) == [(2,), (3,)]
     assert rows(e.query("SELECT FIELD('b', 'a', 'b') AS f, FIND_IN_SET('c', 'a, b, c') AS g, LOCATE('z', 'abc') AS l, IFNULL(NULL, 1) AS i, DATE_FORMAT(DATE'2024-02-03', '%d/%m/%Y') AS d")) == [(2, 3, 0, 1, "03/02/2024")]
     assert "users_m" in [r[1] for r in e.query("SHOW TABLES").collect()]
+
+
+def test_special_engines(spark):
+    e = Engine(spark)
+    e.put("locations_s", spark.sql("SELECT id, named_struct('x', x, 'y', y) AS pos FROM VALUES (1, 0D, 0D), (2, 3D, 4D), (3, 6D, 8D) t(id, x, y)"))
+    assert rows(e.query("SELECT id, ST_DISTANCE(pos, POINT(0, 0)) AS distance FROM locations_s")) == [(1, 0.0), (2, 5.0), (3, 10.0)]
+    assert rows(e.query("SELECT id FROM locations_s WHERE ST_WITHIN(pos, 0, 0, 5)")) == [(1,), (2,)]
+    e.put("docs_s", spark.createDataFrame([(1, "The quick brown fox"), (2, "lazy dog"), (3, "brown bread's")], "id int, content string"))
+    assert rows(e.query("SELECT id FROM docs_s WHERE MATCH(content) AGAINST('brown')")) == [(1,), (3,)]
+    assert rows(e.query("SELECT id FROM docs_s WHERE MATCH(content) AGAINST('+brown -fox' IN BOOLEAN MODE)")) == [(3,)]
+    assert rows(e.query("SELECT id, MATCH(content) AGAINST('brown fox') AS relevance FROM docs_s WHERE id < 3")) == [(1, 2), (2, 0)]
+    e.put("temps_s", spark.sql("SELECT timestamp(a) AS ts, v FROM VALUES ('2024-01-01 10:00', 1D), ('2024-01-01 10:30', 3D), ('2024-01-01 11:00', 5D), ('2024-01-01 11:30', 9D) t(a, v)"))
+    assert [r[1] for r in rows(e.query("SELECT time_bucket('1h', ts) AS b, avg(v) AS m FROM temps_s GROUP BY 1"))] == [2.0, 7.0]
+
+
+def test_apply_and_series(spark):
+    e = Engine(spark, "mssql")
+    e.put("dep_a", spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string"))
+    e.put("emp_a", spark.createDataFrame([(1, 10), (1, 20)], "dep int, pay int"))
+    assert rows(e.query("SELECT d.id, t.pay FROM dep_a d CROSS APPLY (SELECT pay FROM emp_a e WHERE e.dep = d.id) t")) == [(1, 10), (1, 20)]
+    assert sorted(map(str, rows(e.query("SELECT d.id, t.total FROM dep_a d OUTER APPLY (SELECT sum(pay) AS total FROM emp_a e WHERE e.dep = d.id) AS t")))) == ["(1, 30)", "(2, None)"]
+    p = Engine(spark, "postgresql")
+    assert rows(p.query("SELECT generate_series FROM generate_series(1, 7, 3)")) == [(1,), (4,), (7,)]
