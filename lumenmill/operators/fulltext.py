@@ -23,10 +23,17 @@ def build_index(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 def match_any(df: DataFrame, key: str, cols: list[str], query: str, index: DataFrame | None = None) -> DataFrame:
     """Documents with any of the terms: score = sum of 1 + ln(N / df) over the terms found.
 
-    Only postings of the query's terms are aggregated; the terms are few, so they are a filter, not a join.
+    With an index, only postings of the query's terms are read and aggregated. Without one, each term is a test on the
+    row; the counts are one row, and nothing is exploded or shuffled.
     """
     terms = sorted({t for t in re.findall(r"[^\W_]+", query.lower())})
-    postings = (index if index is not None else build_index(df, key, cols)).where(F.col("term").isin(terms))
+    if index is None:
+        text = F.lower(F.concat_ws(" ", *cols))
+        x = df.select(key, *[text.rlike(rf"(?<![\p{{L}}\p{{N}}]){re.escape(t)}(?![\p{{L}}\p{{N}}])").alias(f"_h{k}") for k, t in enumerate(terms)])
+        counts = x.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(f"_h{k}").cast("long")).alias(f"_d{k}") for k in range(len(terms))])
+        score = reduce(lambda a, b: a + b, [F.when(F.col(f"_h{k}"), 1 + F.log(F.col("_n") / F.col(f"_d{k}"))).otherwise(0.0) for k in range(len(terms))], F.lit(0.0))
+        return x.crossJoin(F.broadcast(counts)).select(key, score.alias("relevance")).where("relevance > 0")  # counts: one row
+    postings = index.where(F.col("term").isin(terms))
     n = df.agg(F.count(F.lit(1)).alias("n_docs"))
     weights = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
     weights = weights.select("term", (1 + F.log(F.col("n_docs") / F.col("df"))).alias("w"))  # a row a query term

@@ -143,6 +143,13 @@ def fulltext_ranked(spark, d):
     return fulltext.match_any(read_table(spark, d, "documents"), "doc_id", ["text"], "the thing avec").select("doc_id", F.round("relevance", 6).alias("relevance"))
 
 
+@query(f"WITH p AS {_TOKENS}, q AS (SELECT * FROM p WHERE term IN ('nicht', 'of')), w AS (SELECT term, 1 + ln((SELECT count(*) FROM documents) / count(*)) AS w FROM q GROUP BY term) SELECT doc_id, round(sum(w), 6) AS relevance FROM q JOIN w USING (term) GROUP BY doc_id")
+def fulltext_indexed(spark, d):
+    docs = read_table(spark, d, "documents")
+    index = fulltext.build_index(docs, "doc_id", ["text"])
+    return fulltext.match_any(docs, "doc_id", ["text"], "of nicht", index).select("doc_id", F.round("relevance", 6).alias("relevance"))
+
+
 @query("SELECT doc_id, (contains(lower(text), 'idiot')::INT + contains(lower(text), 'license')::INT) AS relevance FROM documents WHERE contains(lower(text), 'idiot') OR contains(lower(text), 'license')")
 def fulltext_contains(spark, d):
     return fulltext.match_contains(read_table(spark, d, "documents"), ["text"], "license idiot").select("doc_id", "relevance")
