@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, table
+from .common import BLANKS, ascii_lower, scratch, table
 
 SALTS = 64
 
@@ -47,8 +47,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"),
         F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
     )
+    # the texts are split and hashed once; range sampling and both uses below read the hashes
+    hashed = scratch(lines, "line-hashes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = lines.repartitionByRange(n, "h1", "h2", "salt")
+    lines = hashed.repartitionByRange(n, "h1", "h2", "salt")
     group = W.partitionBy("h1", "h2", "salt")
     stream = group.orderBy("doc_id", "pos", "row_hash")
     fresh = F.row_number().over(stream) == 1
