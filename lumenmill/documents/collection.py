@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import uuid
 from functools import reduce
@@ -22,15 +23,18 @@ class Collection:
         self.indexes: dict[str, dict] = {}
 
     # documents in
-    def insert_one(self, doc: dict) -> str:
+    def insert_one(self, doc: dict, ttl_seconds: int | None = None) -> str:
         """Insert a document; returns its id."""
-        return self.insert_many([doc])[0]
+        return self.insert_many([doc], ttl_seconds)[0]
 
-    def insert_many(self, docs: list[dict]) -> list[str]:
-        """Insert documents in one plan; returns their ids."""
+    def insert_many(self, docs: list[dict], ttl_seconds: int | None = None) -> list[str]:
+        """Insert documents in one plan, with a time to live if given; returns their ids."""
         docs = [{"_id": str(uuid.uuid4())} | d for d in docs]
         spark = self.store.spark
         new = spark.read.json(spark.sparkContext.parallelize([json.dumps(d, default=str) for d in docs]))
+        if ttl_seconds is not None:
+            until = dt.datetime.now(dt.UTC) + dt.timedelta(seconds=ttl_seconds)
+            new = new.withColumn("_expires", F.lit(until))
         rows = new if self.rows is None else self.rows.unionByName(new, allowMissingColumns=True)
         self._check(rows)
         self.rows = rows
@@ -39,14 +43,23 @@ class Collection:
     def _check(self, rows: DataFrame) -> None:
         unique = [["_id"], *[list(s["keys"]) for s in self.indexes.values() if s.get("unique")]]
         for keys in unique:
-            live = rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+            live = self._live(rows).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
             if not live.groupBy(*keys).count().where("count > 1").isEmpty():
                 raise EngineError("DUPLICATE_KEY", ", ".join(keys))
 
     # documents out
     def _all(self) -> DataFrame:
+        return self._live(self._raw()).drop("_expires")
+
+    def _raw(self) -> DataFrame:
         return self.rows if self.rows is not None else self.store.spark.createDataFrame([], "_id string")
 
+    @staticmethod
+    def _live(rows: DataFrame) -> DataFrame:
+        if "_expires" not in rows.columns:
+            return rows
+        return rows.where(F.col("_expires").isNull() | (F.col("_expires") > F.current_timestamp()))
+
     def find(self, query: dict | None = None, projection: dict | None = None, sort: dict | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
         """Documents that match, as a lazy DataFrame."""
         stages: list[dict] = [{"$match": query or {}}]
@@ -87,7 +100,7 @@ class Collection:
         hit = self._hit(query, one)
         n = self._all().where(hit).count()
         if n:
-            rows = compiler.apply_update(self._all(), hit, change)
+            rows = compiler.apply_update(self._raw(), hit, change)
             self._check(rows)
             self.rows = rows
         return n
@@ -105,7 +118,7 @@ class Collection:
         """Delete all that match, or the one of least id; returns how many."""
         hit = self._hit(query, one)
         n = self._all().where(hit).count()
-        self.rows = self._all().where(~hit)
+        self.rows = self._raw().where(~hit)
         return n
 
     def delete_one(self, query: dict) -> int:
@@ -117,6 +130,10 @@ class Collection:
         self.indexes[name] = {"keys": keys, "unique": unique}
         self._check(self._all())
 
+    def drop_index(self, name: str) -> None:
+        """Forget an index."""
+        self.indexes.pop(name, None)
+
     def drop(self) -> None:
         """Forget the collection."""
         self.store.collections.pop(self.name, None)

@@ -89,3 +89,14 @@ def test_cql(spark):
     s.execute("DROP TABLE ev")
     with pytest.raises(EngineError):
         s.execute("SELECT * FROM ev")
+
+
+def test_time_to_live(people):
+    people.insert_one({"_id": "gone", "name": "Old"}, ttl_seconds=0)
+    people.insert_one({"_id": "new", "name": "New"}, ttl_seconds=600)
+    assert ids(people.find()) == ["a", "b", "c", "new"]
+    assert people.update_many({"_id": "new"}, {"$set": {"age": 1}}) == 1
+    assert ids(people.find()) == ["a", "b", "c", "new"]
+    people.create_index("x", ["name"])
+    people.drop_index("x")
+    assert people.indexes == {}

@@ -180,3 +180,19 @@ def test_apply_and_series(spark):
     assert sorted(map(str, rows(e.query("SELECT d.id, t.total FROM dep_a d OUTER APPLY (SELECT sum(pay) AS total FROM emp_a e WHERE e.dep = d.id) AS t")))) == ["(1, 30)", "(2, None)"]
     p = Engine(spark, "postgresql")
     assert rows(p.query("SELECT generate_series FROM generate_series(1, 7, 3)")) == [(1,), (4,), (7,)]
+
+
+def test_plugins(spark):
+    from lumenmill import plugins
+
+    class Extra:
+        name, order = "extra", 5
+
+        def register(self, context):
+            context.statement(r"HELLO (\w+)", lambda engine, m, text, args: engine.spark.sql(f"SELECT '{m[1]}' AS who"))
+            context.call("mysql", "TWICE", lambda a: f"({a[0]} * 2)")
+
+    assert "extra" in plugins.load(Extra(), Extra())
+    e = Engine(spark, "mysql")
+    assert rows(e.execute("HELLO world")) == [("world",)]
+    assert rows(e.query("SELECT TWICE(4 + 1) AS x")) == [(10,)]
