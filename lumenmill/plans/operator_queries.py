@@ -108,12 +108,12 @@ def time_bucket(spark, d):
     return x.select(F.date_format("bucket", "yyyy-MM-dd HH:mm").alias("b"), "event_type", "n", F.round("sum", 4).alias("s"), F.col("min").alias("lo"), F.col("first").alias("f"), F.col("last").alias("l"))
 
 
-@query("""WITH b AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts) AS bucket, count(*) AS n FROM events WHERE user_id <= 20 GROUP BY ALL),
+@query("""WITH b AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts) AS bucket, count(*) AS n FROM events GROUP BY ALL),
 g AS (SELECT user_id, unnest(generate_series(min(bucket), max(bucket), INTERVAL 6 HOUR)) AS bucket FROM b GROUP BY user_id)
 SELECT g.user_id, epoch_ms(g.bucket) AS bucket_ms, last_value(b.n IGNORE NULLS) OVER (PARTITION BY g.user_id ORDER BY g.bucket ROWS UNBOUNDED PRECEDING) AS n
 FROM g LEFT JOIN b USING (user_id, bucket)""")
 def gap_fill(spark, d):
-    b = timeseries.time_bucket(read_table(spark, d, "events").where("user_id <= 20"), "6h", "value", keys=["user_id"]).select("bucket", "user_id", "n")
+    b = timeseries.time_bucket(read_table(spark, d, "events"), "6h", "value", keys=["user_id"]).select("bucket", "user_id", "n")
     return timeseries.gap_fill(b, "6h", ["user_id"], ["n"]).select("user_id", F.unix_millis("bucket").alias("bucket_ms"), "n")
 
 
@@ -195,10 +195,9 @@ def stream_tumbling(spark, d):
     return stream_engine.plan(_events(spark, d), stream_engine.parse(text)).select(F.unix_millis("window_start").alias("start_ms"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
-@query("WITH b AS (SELECT a.event_id AS anchor, e.event_type FROM events a JOIN events e ON e.ts <= a.ts AND e.ts > a.ts - INTERVAL 10 MINUTE WHERE a.user_id < 30 AND e.user_id < 30) SELECT anchor, event_type, count(*) AS n FROM b GROUP BY ALL")
+@query("WITH b AS (SELECT a.event_id AS anchor, e.event_type FROM events a JOIN events e ON e.ts <= a.ts AND e.ts > a.ts - INTERVAL 10 MINUTE) SELECT anchor, event_type, count(*) AS n FROM b GROUP BY ALL")
 def stream_sliding_grouped(spark, d):
-    e = _events(spark, d).where("user_id < 30").withColumn("ts", F.col("ts"))
-    return windows.sliding_grouped(e, 600_000, "event_id", ["event_type"], [F.count(F.lit(1)).alias("n")])
+    return windows.sliding_grouped(_events(spark, d), 600_000, "event_id", ["event_type"], [F.count(F.lit(1)).alias("n")])
 
 
 @query("SELECT l.event_id AS a, r.event_id AS b FROM events l JOIN events r ON l.user_id = r.user_id AND r.ts BETWEEN l.ts - INTERVAL 5 MINUTE AND l.ts + INTERVAL 5 MINUTE WHERE l.event_type = 'click' AND r.event_type = 'purchase'")
@@ -214,10 +213,9 @@ def stream_lookup_join(spark, d):
     return windows.lookup_join(_events(spark, d), c, "user_id").select("event_id", "c_mktsegment")
 
 
-@query("SELECT event_id FROM (SELECT event_id, ts, max(ts) OVER (PARTITION BY event_type ORDER BY hash_key, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT *, event_id * 7919 % 101 AS hash_key FROM events)) WHERE m IS NULL OR epoch_ms(ts) >= epoch_ms(m) - 86400000")
+@query("SELECT event_id FROM (SELECT event_id, ts, max(ts) OVER (PARTITION BY event_type ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE m IS NULL OR epoch_ms(ts) >= epoch_ms(m) - 86400000")
 def stream_late_filter(spark, d):
-    e = _events(spark, d).withColumn("hash_key", F.col("event_id") * 7919 % 101)
-    return windows.late_filter(e, 86_400_000, ["hash_key", "event_id"], partition=["event_type"]).select("event_id")
+    return windows.late_filter(_events(spark, d), 86_400_000, ["value", "event_id"], partition=["event_type"]).select("event_id")
 
 
 # --- changes: the final table state --------------------------------------------------------
@@ -235,28 +233,42 @@ def dml_sequence(spark, d):
     return e.table("sup_w").drop("s_nationkey")
 
 
-@query("SELECT coalesce(t.s_suppkey, s.s_suppkey) AS s_suppkey, CASE WHEN s.s_suppkey IS NOT NULL AND t.s_suppkey IS NOT NULL THEN t.s_acctbal + s.s_acctbal WHEN t.s_suppkey IS NULL THEN s.s_acctbal ELSE t.s_acctbal END AS s_acctbal FROM (SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 3 <> 0) t FULL JOIN (SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 2 = 0) s USING (s_suppkey)".replace("USING (s_suppkey)", "ON t.s_suppkey = s.s_suppkey"))
+def _accounts(spark, d):
+    """Customers as new rows for the suppliers: some keys match."""
+    return read_table(spark, d, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_acctbal").alias("s_acctbal"))
+
+
+_BOTH = "FROM supplier t FULL JOIN customer s ON s_suppkey = c_custkey"
+
+
+@query(f"SELECT coalesce(s_suppkey, c_custkey) AS s_suppkey, CASE WHEN c_custkey IS NULL THEN s_acctbal WHEN s_suppkey IS NULL THEN c_acctbal ELSE s_acctbal + c_acctbal END AS s_acctbal {_BOTH}")
 def merge_full(spark, d):
     x = _suppliers(spark, d).select("s_suppkey", "s_acctbal")
-    return dml.merge(x.where("s_suppkey % 3 <> 0"), x.where("s_suppkey % 2 = 0"), ["s_suppkey"], matched={"s_acctbal": F.col("t.s_acctbal") + F.col("s.s_acctbal")})
+    return dml.merge(x, _accounts(spark, d), ["s_suppkey"], matched={"s_acctbal": F.col("t.s_acctbal") + F.col("s.s_acctbal")})
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier ANTI JOIN customer ON s_suppkey = c_custkey UNION ALL SELECT c_custkey, c_acctbal FROM customer ANTI JOIN supplier ON s_suppkey = c_custkey")
+def merge_delete(spark, d):
+    x = _suppliers(spark, d).select("s_suppkey", "s_acctbal")
+    return dml.merge(x, _accounts(spark, d), ["s_suppkey"], delete_matched=True)
 
 
-@query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, -1.0 FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey % 3 = 0")
+@query(f"SELECT coalesce(s_suppkey, c_custkey) AS s_suppkey, coalesce(s_acctbal, c_acctbal) AS s_acctbal {_BOTH}")
 def upsert_nothing(spark, d):
     x = _suppliers(spark, d).select("s_suppkey", "s_acctbal")
-    return dml.upsert(x.where("s_suppkey % 2 = 0"), x.where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.lit(-1.0)), ["s_suppkey"], do_nothing=True)
+    return dml.upsert(x, _accounts(spark, d), ["s_suppkey"], do_nothing=True)
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN -1.0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0")
+@query(f"SELECT coalesce(s_suppkey, c_custkey) AS s_suppkey, coalesce(c_acctbal, s_acctbal) AS s_acctbal {_BOTH}")
 def upsert_update(spark, d):
     x = _suppliers(spark, d).select("s_suppkey", "s_acctbal")
-    return dml.upsert(x.where("s_suppkey % 2 = 0"), x.where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.lit(-1.0)), ["s_suppkey"])
+    return dml.upsert(x, _accounts(spark, d), ["s_suppkey"])
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey < 5 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+@query(f"SELECT coalesce(c_custkey, s_suppkey) AS s_suppkey, CASE WHEN c_custkey IS NULL THEN s_acctbal ELSE c_acctbal END AS s_acctbal {_BOTH}")
 def replace_into(spark, d):
     x = _suppliers(spark, d).select("s_suppkey", "s_acctbal")
-    return dml.replace_into(x, x.where("s_suppkey < 5").withColumn("s_acctbal", F.lit(0.0)), ["s_suppkey"])
+    return dml.replace_into(x, _accounts(spark, d), ["s_suppkey"])
 
 
 @query("SELECT s_suppkey, 'on' AS state FROM supplier WHERE s_suppkey > 3")
