@@ -32,6 +32,8 @@ SAMPLE_CHARS = 20_000
 GRAM = 5
 #: Weaker evidence is left out.
 STRONG = 1.0
+#: Clean texts that each gram is taken to have been seen in besides those counted.
+SMOOTH = 0.3
 #: Tokens whose evidence a worker remembers.
 CACHE = 200_000
 #: Letters decoded at once.
@@ -203,7 +205,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
                     seen[y][g] += k
     share = len(halves[1, 0]) / len(halves[0, 0])
     for g, k in seen[1].items():
-        if (x := math.log((k + 0.5) / (seen[0][g] * share + 3))) > 0:
+        if (x := math.log((k + 0.5) / (seen[0][g] * share + SMOOTH))) > 0:
             model.evidence[g] = x
     rows = [(*model.measures(t), y) for y in (0, 1) for t in halves[y, 1]]
     x = np.array([r[:-1] for r in rows])
