@@ -4,10 +4,12 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lumenmill.llm import decontam, linededup, minhash, mixing, quality_rules
+from lumenmill.llm.textnp import Texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -214,3 +216,11 @@ def test_mixing(spark, docs, empty):
     big = mixing.schedule(docs).agg(F.sum("size")).first()[0]
     assert big == total
     assert hashlib.md5(b"").hexdigest()  # the shuffle key of a null id
+
+
+@pytest.mark.parametrize("n", range(6))
+def test_shingles_of_a_batch_of_few_words(n):
+    text = " ".join("abcde"[:n])
+    alone = minhash.shingle_sets(Texts(pa.array([text])), 5)
+    beside = minhash.shingle_sets(Texts(pa.array([text, "x " * 50])), 5)
+    assert len(alone) == 1 and alone[0].tolist() == beside[0].tolist() and len(alone[0]) == (n > 0)
