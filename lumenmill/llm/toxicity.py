@@ -6,8 +6,9 @@ model of ordinary words is the restored text. Restored words are looked up by th
 boundaries included, whose evidence is the log of how much more often toxic texts have them. A logistic curve over the
 strongest words and their density gives the score.
 
-Model, evidence and curve are fitted on at most ``MAX_SAMPLE`` labelled rows of each class, those of the smallest hash:
-half of them gives the counts, the other half the curve. Every text is scored whole.
+The character model counts the words of all documents, each spelling once a document. Evidence and curve are fitted on at most
+``MAX_SAMPLE`` labelled rows of each class, those of the smallest hash: half of them gives the counts, the other half the
+curve. Every text is scored whole.
 
 Edge cases: null or empty text scores as a text without evidence; labels that are null or name no document teach
 nothing; with one class missing every score is that class's share; repeated rows get equal scores; an empty table gives
@@ -18,12 +19,18 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 from .quality_clf import fit_logistic, labelled_sample, score_texts
 
 MAX_SAMPLE = 4000
@@ -36,6 +43,8 @@ STRONG = 1.0
 SMOOTH = 0.3
 #: Tokens whose evidence a worker remembers.
 CACHE = 200_000
+#: Entries that a counting worker holds before it hands them on.
+HELD = 300_000
 #: Letters decoded at once.
 CHUNK = 64
 START, BACK_OFF = "^^^^^", 4.0
@@ -53,26 +62,120 @@ _RUNS = re.compile(r"(.)\1*", re.DOTALL)
 
 
 class CharModel:
-    """A character model of five-letter memory that backs off to shorter contexts; ``^`` is the word boundary."""
+    """A character model of five-letter memory that backs off to shorter contexts; ``^`` is the word boundary.
+
+    Counts are found by the hash of their gram, in sorted arrays: 16 bytes an entry, however many there are.
+    """
+
+    def __init__(self, words: dict[str, int]):
+        counts = Counter()
+        for gram, n in letter_grams(words).items():
+            for key in gram_keys(gram):
+                counts[key] += n
+        self._hold(sorted(counts.items()))
+
+    @classmethod
+    def of_counts(cls, counts: pa.Table) -> CharModel:
+        """From a table (key, n)."""
+        own = cls.__new__(cls)
+        own._hold(counts.sort_by("key"))
+        return own
+
+    def _hold(self, rows: list[tuple[int, int]] | pa.Table) -> None:
+        self.keys, self.counts = array("q"), array("q")
+        if isinstance(rows, pa.Table):
+            self.keys.frombytes(rows["key"].to_numpy().tobytes())
+            self.counts.frombytes(rows["n"].to_numpy().tobytes())
+        else:
+            self.keys.extend(k for k, _ in rows)
+            self.counts.extend(n for _, n in rows)
+        self._costs: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_costs": {}}
 
-    def __init__(self, words: Counter):
-        self.seen, self.context = Counter(), Counter()
-        for word, n in words.items():
-            z = START + word + "^"
-            for i in range(len(START), len(z)):
-                for k in range(len(START) + 1):
-                    self.seen[z[i - k : i + 1]] += n
-                    self.context[z[i - k : i]] += n
+    def count(self, kind: str, text: str) -> int:
+        """How often a gram (kind ``+``) or a context (``-``) was seen."""
+        key = hash_of(kind + text)
+        at = bisect_left(self.keys, key)
+        return self.counts[at] if at < len(self.keys) and self.keys[at] == key else 0
 
     def cost(self, context: str, c: str) -> float:
         """-log P(c | context)."""
-        p = 1 / 200
-        for k in range(len(context) + 1):
-            past = context[len(context) - k :]
-            if not (n := self.context[past]):
-                break
-            p = (self.seen[past + c] + BACK_OFF * p) / (n + BACK_OFF)
-        return -math.log(p)
+        found = self._costs.get(context + c)
+        if found is None:
+            p = 1 / 200
+            for k in range(len(context) + 1):
+                past = context[len(context) - k :]
+                if not (n := self.count("-", past)):
+                    break
+                p = (self.count("+", past + c) + BACK_OFF * p) / (n + BACK_OFF)
+            found = -math.log(p)
+            if len(self._costs) >= CACHE:
+                self._costs.clear()
+            self._costs[context + c] = found
+        return found
+
+
+def hash_of(text: str) -> int:
+    """A 64-bit hash that is the same in every process."""
+    return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def letter_grams(words: dict[str, int]) -> Counter:
+    """Every letter of the words with the five before it."""
+    out, size = Counter(), len(START)
+    for word, n in words.items():
+        z = START + word + "^"
+        for i in range(size, len(z)):
+            out[z[i - size : i + 1]] += n
+    return out
+
+
+def gram_keys(gram: str) -> list[int]:
+    """What one sight of a letter after its context counts for: grams and contexts of every length."""
+    return [hash_of(kind) for k in range(len(gram)) for kind in ("+" + gram[k:], "-" + gram[k:-1])]
+
+
+def plain_words(tokens: dict[str, int]) -> Counter:
+    """The tokens that hide nothing, without punctuation around them."""
+    out = Counter()
+    for token, k in tokens.items():
+        if (core := token.strip(_EDGES)).isalpha() and not _REPEATED.search(core):
+            out[core] += k
+    return out
+
+
+def corpus_model(docs: DataFrame) -> CharModel:
+    """The character model of the words of all documents, each spelling counted once a document."""
+    bounded_batches(docs.sparkSession)
+
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Counter()
+
+        def handed_on() -> pa.RecordBatch:
+            found = letter_grams(plain_words(tokens))
+            tokens.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["gram", "n"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                tokens.update(set((text.as_py() or "").lower().split()))
+                if len(tokens) >= HELD:
+                    yield handed_on()
+        yield handed_on()
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Counter()
+            for gram, n in zip(batch.column("gram").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                for key in gram_keys(gram):
+                    found[key] += n
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["key", "n"])
+
+    total = F.sum("n").alias("n")
+    found = docs.select("text").mapInArrow(letters, "gram string, n long").groupBy("gram").agg(total)
+    return CharModel.of_counts(found.mapInArrow(keys, "key long, n long").groupBy("key").agg(total).toArrow())
 
 
 def lattice(token: str, *, spaced: bool = False) -> list[list[tuple[str, float]]]:
@@ -179,8 +282,8 @@ def grams(word: str) -> list[str]:
     return [z[i : i + GRAM] for i in range(max(1, len(z) - GRAM + 1))]
 
 
-def train(sample: list[tuple[str, int]]) -> Model:
-    """Fit all parts on labelled texts."""
+def train(sample: list[tuple[str, int]], chars: CharModel | None = None) -> Model:
+    """Fit evidence and curve on labelled texts; without a character model of the corpus their words make one."""
     n = Counter(y for _, y in sample)
     prior = n[1] / len(sample) if sample else 0.0
     halves = {(y, k): [t for t, z in sample if z == y][k::2] for y in (0, 1) for k in (0, 1)}
@@ -188,13 +291,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
     for y in (0, 1):
         for text in halves[y, 0]:
             words[y].update(set(text.lower().split()))
-    plain = Counter()
-    for count in words.values():
-        for token, k in count.items():
-            if (core := token.strip(_EDGES)).isalpha() and not _REPEATED.search(core):
-                plain[core] += k
-    # words of one text add more entries than knowledge
-    model = Model(CharModel(Counter({w: k for w, k in plain.items() if k > 1}) or plain), {}, (), prior)
+    model = Model(chars or CharModel(plain_words(words[0] + words[1])), {}, (), prior)
     if min(n[0], n[1]) < 8:
         return model
     seen = {y: Counter() for y in (0, 1)}
@@ -218,4 +315,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", MAX_SAMPLE, SAMPLE_CHARS)
-    return score_texts(docs, train(sample), 0.5)
+    return score_texts(docs, train(sample, corpus_model(docs)), 0.5)

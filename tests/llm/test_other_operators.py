@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,6 +109,23 @@ def test_deobfuscation(spark, labelled, hidden):
     assert model.measures(text)[0] > 1
 
 
+def test_character_model_knows_all_documents(spark, labelled, tmp_path):
+    docs, labels = labelled
+    rare = spark.createDataFrame([(5000, "the quixotic (zephyr) once"), (None, "zephyr Zephyr"), (5001, None)], "doc_id long, text string")
+    chars = toxicity.corpus_model(docs.unionByName(rare))
+    words = Counter()
+    for r in docs.unionByName(rare).collect():
+        words.update(w for t in set((r["text"] or "").lower().split()) for w in [t.strip("()!$")] if w)
+    want = toxicity.CharModel(words)
+    assert list(zip(chars.keys, chars.counts)) == list(zip(want.keys, want.counts))
+    model = toxicity.train(quality_clf.labelled_sample(docs, labels, "toxic", 500, 5000), chars)
+    assert model.restore("qu1x0t1c") == ["quixotic"] and model.restore("z3phyr") == ["zephyr"]
+    docs.unionByName(rare).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert toxicity.op4_toxicity(spark, str(tmp_path)).count() == docs.count() + 3
+    assert not toxicity.corpus_model(docs.limit(0)).keys
+
+
 def test_viterbi_is_exact():
     model = toxicity.CharModel({"abba": 3, "abc": 2, "caab": 1})
     places = [[("a", 0.0), ("b", 0.3)], [("b", 0.0), ("", 0.5)], [("bb", 0.2), ("c", 0.0)], [("a", 0.0)]]
