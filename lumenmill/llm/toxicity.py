@@ -55,9 +55,16 @@ LOOKS = {
 }
 _SUBSTITUTE, _DROP, _SINGLE, _DOUBLE, _BREAK = 1.0, 7.0, 0.5, 3.0, 4.0
 _EDGES = ".,;:?\"'()[]{}<>*$!|+&%#=~`-_/\\"
+#: Edges that no letter hides behind.
+_PLAIN_EDGES = "".join(c for c in _EDGES if c not in LOOKS)
+#: Punctuation that is common before and after a word, and what it costs to read it so; elsewhere it costs ``_DROP``.
+_OPENS, _CLOSES, _USUAL = "(*|", "!*|+", 0.5
 _HIDDEN = re.compile(r"[0-9@$!|+(€£*._\-]")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){2,}[^\W_](?!\S)|(?<!\S)(?:[@$!|][ .\-_*]|[^\W_][ .\-_*]){3,}[@$!|](?!\S)")
+#: Numbers and prices are read as such.
+_NUMBER = re.compile(r"[+$€£(]?\d[\d.,:\-+]*[)!*+%€£]*")
 _RUNS = re.compile(r"(.)\1*", re.DOTALL)
 
 
@@ -184,7 +191,9 @@ def lattice(token: str, *, spaced: bool = False) -> list[list[tuple[str, float]]
     for run in _RUNS.finditer(token):
         c, n = run[1], len(run[0])
         if c in LOOKS:
-            place = [(x, _SUBSTITUTE) for x in LOOKS[c]] + [("", _DROP)]
+            usual = not spaced and (c in _OPENS and run.start() == 0 or c in _CLOSES and run.end() == len(token))
+            drop = _USUAL if usual else _DROP
+            place = [(x, _SUBSTITUTE) for x in LOOKS[c]] + [("", drop)]
             out += [place] * min(n, 2)
         elif not c.isalnum():
             out.append([("", 0.0), ("^", _BREAK)] if spaced else [("", _SINGLE), ("^", _DOUBLE)])
@@ -226,15 +235,11 @@ class Model:
 
     def restore(self, token: str) -> list[str]:
         """The words that a lower-case token stands for."""
-        core = token.strip(_EDGES)
-        if core.isalpha() and not _REPEATED.search(core):
-            return [core]
-        if not _HIDDEN.search(token) and not _REPEATED.search(core):
-            return [core]
-        if core.isdigit() or not any(map(str.isalpha, core)):
+        core = token.strip(_PLAIN_EDGES)
+        if not _HIDDEN.search(core) and not _DOUBLED.search(core):
+            return [core] if any(map(str.isalpha, core)) else []
+        if _NUMBER.fullmatch(core):
             return []
-        if token[0] in LOOKS:  # the first letter itself may be disguised
-            core = token.rstrip(_EDGES)
         places = lattice(core)
         parts = [viterbi(places[i : i + CHUNK], self.chars) for i in range(0, len(places), CHUNK)]
         return [w for w in "".join(parts).split("^") if w]

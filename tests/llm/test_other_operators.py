@@ -126,6 +126,17 @@ def test_character_model_knows_all_documents(spark, labelled, tmp_path):
     assert not toxicity.corpus_model(docs.limit(0)).keys
 
 
+@pytest.mark.parametrize(
+    ("hidden", "word"),
+    [("$cum", "scum"), ("a$$", "ass"), ("@$$", "ass"), ("scuum", "scum"), ("(lown", "clown"), ("!d!ot", "idiot"), ("idi*t!", "idiot"), ("sc|_|um", "scum"),
+     ("good!", "good"), ("(good)", "good"), ("*good*", "good"), ('"cum"', "cum"), ("as", "as"), ("good", "good"), ("$100", None), ("455", None), ("12:30!", None)],
+)
+def test_disguised_edges_and_doubled_letters(hidden, word):
+    counts = {"as": 500, "good": 100, "cum": 20, "scum": 5, "ass": 5, "clown": 5, "idiot": 5, "lie": 50, "dot": 50}
+    model = toxicity.Model(toxicity.CharModel(counts), {}, (), 0.0)
+    assert model.restore(hidden) == ([word] if word else [])
+
+
 def test_viterbi_is_exact():
     model = toxicity.CharModel({"abba": 3, "abc": 2, "caab": 1})
     places = [[("a", 0.0), ("b", 0.3)], [("b", 0.0), ("", 0.5)], [("bb", 0.2), ("c", 0.0)], [("a", 0.0)]]
