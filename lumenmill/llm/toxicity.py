@@ -45,8 +45,6 @@ SMOOTH = 0.3
 CACHE = 200_000
 #: Entries that a counting worker holds before it hands them on.
 HELD = 300_000
-#: Letters decoded at once.
-CHUNK = 64
 START, BACK_OFF = "^^^^^", 4.0
 # What look-alike characters may stand for.
 LOOKS = {
@@ -62,7 +60,10 @@ _OPENS, _CLOSES, _USUAL = "(*|", "!*|+", 0.5
 _HIDDEN = re.compile(r"[0-9@$!|+(€£*._\-]")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _DOUBLED = re.compile(r"([^\W\d_])\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){2,}[^\W_](?!\S)|(?<!\S)(?:[@$!|][ .\-_*]|[^\W_][ .\-_*]){3,}[@$!|](?!\S)")
+#: Three or more letters, digits or look-alikes set apart; a star may be a look-alike or stand between letters.
+_PLACE, _APART = r"(?:[^\W_]|[@$!|+(€£*])", r"(?:[\s.\-_]+|\*)"
+_SPACED = re.compile(rf"(?<![^\s\"'\[{{]){_PLACE}(?:{_APART}{_PLACE}){{2,}}(?=[.,;:?!\"')\]}}]*(?!\S))")
+_BLANKS = re.compile(r"[\s.\-_]+")
 #: Numbers and prices are read as such.
 _NUMBER = re.compile(r"[+$€£(]?\d[\d.,:\-+]*[)!*+%€£]*")
 _RUNS = re.compile(r"(.)\1*", re.DOTALL)
@@ -192,9 +193,9 @@ def lattice(token: str, *, spaced: bool = False) -> list[list[tuple[str, float]]
         c, n = run[1], len(run[0])
         if c in LOOKS:
             usual = not spaced and (c in _OPENS and run.start() == 0 or c in _CLOSES and run.end() == len(token))
-            drop = _USUAL if usual else _DROP
+            drop = _USUAL if usual else _SINGLE if spaced and c == "*" else _DROP
             place = [(x, _SUBSTITUTE) for x in LOOKS[c]] + [("", drop)]
-            out += [place] * min(n, 2)
+            out += [place] * (n if spaced else min(n, 2))
         elif not c.isalnum():
             out.append([("", 0.0), ("^", _BREAK)] if spaced else [("", _SINGLE), ("^", _DOUBLE)])
         elif n == 1 or spaced:
@@ -207,20 +208,24 @@ def lattice(token: str, *, spaced: bool = False) -> list[list[tuple[str, float]]
 
 
 def viterbi(places: list[list[tuple[str, float]]], model: CharModel) -> str:
-    """The likeliest text of a lattice."""
-    states = {START: (0.0, "")}
+    """The likeliest text of a lattice of any length."""
+    states: dict[str, tuple[float, tuple]] = {START: (0.0, ())}
     for choices in [*places, [("^", 0.0)]]:
-        following: dict[str, tuple[float, str]] = {}
-        for context, (cost, text) in states.items():
+        following: dict[str, tuple[float, tuple]] = {}
+        for context, (cost, path) in states.items():
             for piece, extra in choices:
                 at, total = context, cost + extra
                 for c in piece:
                     total += model.cost(at, c)
-                    at = at[1:] + c
+                    at = START if c == "^" else at[1:] + c
                 if at not in following or total < following[at][0]:
-                    following[at] = (total, text + piece)
+                    following[at] = (total, (path, piece) if piece else path)
         states = following
-    return min(states.values())[1][:-1]
+    path, text = min(states.values(), key=lambda s: s[0])[1], []
+    while path:
+        path, piece = path
+        text.append(piece)
+    return "".join(reversed(text))[:-1]
 
 
 class Model:
@@ -240,14 +245,14 @@ class Model:
             return [core] if any(map(str.isalpha, core)) else []
         if _NUMBER.fullmatch(core):
             return []
-        places = lattice(core)
-        parts = [viterbi(places[i : i + CHUNK], self.chars) for i in range(0, len(places), CHUNK)]
-        return [w for w in "".join(parts).split("^") if w]
+        return [w for w in viterbi(lattice(core), self.chars).split("^") if w]
 
     def restore_spaced(self, run: str) -> list[str]:
         """The words that spaced-out letters stand for."""
-        places = lattice(run, spaced=True)
-        return [w for i in range(0, len(places), 2 * CHUNK) for w in viterbi(places[i : i + 2 * CHUNK], self.chars).split("^") if w]
+        run = _BLANKS.sub(" ", run)
+        if len(set(run) - {" "}) == 1 and run[0] in LOOKS and not run[0].isdigit():  # a rule across the page
+            return []
+        return [w for w in viterbi(lattice(run, spaced=True), self.chars).split("^") if w]
 
     def of_word(self, word: str) -> float:
         """The strongest evidence among a restored word's grams."""

@@ -137,6 +137,16 @@ def test_disguised_edges_and_doubled_letters(hidden, word):
     assert model.restore(hidden) == ([word] if word else [])
 
 
+@pytest.mark.parametrize("hidden", ["i d ! o t", "1 d ! 0 t", "$ c u m", "s c @ m s", "s  c  u  m", "s\tc\tu\tm", "s\nc\nu\nm", "i-d-i-*-t", "s*c*u*m", "s c u m!", "@ $ $", "s . c . u . m"])
+def test_spaced_look_alikes(hidden):
+    words = {"as": 500, "good": 100, "scum": 5, "scams": 5, "ass": 5, "idiot": 5, "cum": 20}
+    model = toxicity.Model(toxicity.CharModel(words), {}, (), 0.0)
+    found = [w for m in toxicity._SPACED.finditer(f"so {hidden} good") for w in model.restore_spaced(m[0])]
+    assert len(found) == 1 and found[0] in {"idiot", "scum", "scams", "ass"}
+    long = " ".join("scum" * 100)
+    assert model.restore_spaced(long) == ["scum"] * 100 and model.restore_spaced("* * * *") == []
+
+
 def test_viterbi_is_exact():
     model = toxicity.CharModel({"abba": 3, "abc": 2, "caab": 1})
     places = [[("a", 0.0), ("b", 0.3)], [("b", 0.0), ("", 0.5)], [("bb", 0.2), ("c", 0.0)], [("a", 0.0)]]
