@@ -4,8 +4,8 @@ A zstandard dictionary is trained on good and one on bad labelled texts. A text
 of the two sizes, divided by the size of the text, says which it resembles. A logistic curve fitted on labelled texts
 that went into neither dictionary turns the difference into a score.
 
-Training takes at most ``MAX_SAMPLE`` labelled rows of each class, those of the smallest hash; they are few enough for
-the driver. Every text is scored whole.
+Training takes at most ``MAX_SAMPLE`` labelled rows of each class, those of the smallest hash, and fewer where their texts
+are longer than ``SAMPLE_CHARS`` on average; they are few enough for the driver. Texts are trained on and scored whole.
 
 Edge cases: null or empty text gets the share of good rows among the training rows as its score; labels that are null or
 name no document teach nothing, of several labels of one document all count; with one class missing every score is
@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 from .common import bounded_batches, held_out, table
 
 MAX_SAMPLE = 3000
-#: Characters of a training text that are used, to bound the driver's memory; scoring has no such bound.
+#: Characters a row that the rows of a class may have on average, to bound the driver's memory; no text is cut.
 SAMPLE_CHARS = 20_000
+#: Bytes of one sample of a dictionary; a longer text gives several.
+PIECE = 8000
 DICT_BYTES, LEVEL = 112 << 10, 3
 
 
@@ -76,7 +78,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int) -> list[tuple[str, int]]:
-    """Up to ``per_class`` training rows (text, label) of each class, the same on every run."""
+    """Up to ``per_class`` training rows (text, label) of each class, the same on every run.
+
+    Texts are whole; rows end where those before have ``per_class * chars`` characters.
+    """
     own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(label), "doc_id").alias("h"))
     picked = None
@@ -84,10 +89,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         part = own.where(F.col("y") == y).orderBy("h", "_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    rows = rows.where(F.length("text") > 0).select(F.substring("text", 1, chars).alias("text"), "y", "h")
+    rows = rows.where(F.length("text") > 0).select("text", "y", "h")
+    last, room = {}, {0: per_class * chars, 1: per_class * chars}
+    for y, h, n in sorted(map(tuple, rows.select("y", "h", F.length("text")).collect())):
+        if room[y] > 0:
+            last[y] = h
+            room[y] -= n
+    rows = rows.where(F.coalesce(*[F.when((F.col("y") == y) & (F.col("h") <= h), True) for y, h in last.items()], F.lit(False)))
     return [(r.text, r.y) for r in sorted(rows.collect(), key=lambda r: (r.h, r.y, r.text))]
 
 
+def samples_of(texts: list[bytes]) -> list[bytes]:
+    """The texts as samples of a dictionary, long ones in pieces that cover all of them."""
+    return [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+
+
 def train(sample: list[tuple[str, int]]) -> Model:
     """Half of the sample makes the dictionaries, the other half the curve."""
     sets = {y: [t.encode() for t, k in sample if k == y] for y in (0, 1)}
@@ -97,7 +113,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
     dicts = {}
     for y, texts in sets.items():
         try:
-            dicts[y] = zstandard.train_dictionary(DICT_BYTES, [t[:8000] for t in texts[::2]]).as_bytes()
+            dicts[y] = zstandard.train_dictionary(DICT_BYTES, samples_of(texts[::2])).as_bytes()
         except zstandard.ZstdError:  # too little to choose from: the texts themselves are the dictionary
             dicts[y] = b"".join(texts[::2])[:DICT_BYTES]
     model = Model(dicts[1], dicts[0], (), prior)

@@ -34,7 +34,7 @@ from .common import bounded_batches, table
 from .quality_clf import fit_logistic, labelled_sample, score_texts
 
 MAX_SAMPLE = 4000
-#: Characters of a training text that are used, to bound the driver's memory; scoring has no such bound.
+#: Characters a row that the rows of a class may have on average, to bound the driver's memory; no text is cut.
 SAMPLE_CHARS = 20_000
 GRAM = 5
 #: Weaker evidence is left out.

@@ -65,6 +65,17 @@ def test_markov_models_on_held_out_strings(spark):
     assert sum(r["random"] == r["hit"] for r in rows) > 0.95 * len(rows)
 
 
+def test_training_texts_are_whole(spark):
+    long = "fine words here " * 2000 + "moronic"
+    docs = spark.createDataFrame([(i, f"{long} {i}") for i in range(1, 40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    sample = quality_clf.labelled_sample(docs, labels, "quality", 100, 20_000)
+    assert len(sample) > 20 and all(t.startswith(long) for t, _ in sample)
+    few = quality_clf.labelled_sample(docs, labels, "quality", 10, 10_000)
+    assert few and all(t.startswith(long) for t, _ in few) and [y for _, y in few].count(0) == 4
+    assert b"".join(quality_clf.samples_of([long.encode()])) == long.encode()
+
+
 def texts(rng, n, words):
     return [" ".join(rng.choice(words) for _ in range(rng.randrange(30, 120))) for _ in range(n)]
 
