@@ -30,6 +30,8 @@ MAX_SAMPLE = 3000
 SAMPLE_CHARS = 20_000
 #: Bytes of one sample of a dictionary; a longer text gives several.
 PIECE = 8000
+#: With fewer rows in a class the two halves of the sample take turns.
+FEW = 16
 DICT_BYTES, LEVEL = 112 << 10, 3
 
 
@@ -104,20 +106,31 @@ def samples_of(texts: list[bytes]) -> list[bytes]:
     return [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
 
 
+def dictionary(texts: list[bytes]) -> bytes:
+    """A dictionary of the texts."""
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, samples_of(texts)).as_bytes()
+    except zstandard.ZstdError:  # too little to choose from: the texts themselves are the dictionary
+        return b"".join(dict.fromkeys(texts))[:DICT_BYTES]
+
+
 def train(sample: list[tuple[str, int]]) -> Model:
-    """Half of the sample makes the dictionaries, the other half the curve."""
+    """Half of the sample makes the dictionaries, the other half the curve.
+
+    With few rows in a class each half makes dictionaries for the other's part of the curve, and both make the last
+    ones; a lone row stands on both sides.
+    """
     sets = {y: [t.encode() for t, k in sample if k == y] for y in (0, 1)}
     prior = len(sets[1]) / len(sample) if sample else 0.5
-    if min(map(len, sets.values())) < 16:
+    least = min(map(len, sets.values()))
+    if not least:
         return Model(b"", b"", (), prior)
-    dicts = {}
-    for y, texts in sets.items():
-        try:
-            dicts[y] = zstandard.train_dictionary(DICT_BYTES, samples_of(texts[::2])).as_bytes()
-        except zstandard.ZstdError:  # too little to choose from: the texts themselves are the dictionary
-            dicts[y] = b"".join(texts[::2])[:DICT_BYTES]
-    model = Model(dicts[1], dicts[0], (), prior)
-    rows = [(*model.gap(t), y) for y, texts in sets.items() for t in texts[1::2]]
+    rows, model = [], None
+    for k in (0, 1) if least < FEW else (0,):
+        model = Model(*[dictionary(sets[y][k::2] or sets[y]) for y in (1, 0)], (), prior)
+        rows += [(*model.gap(t), y) for y in (0, 1) for t in (sets[y][1 - k :: 2] or (sets[y] if k == 0 else []))]
+    if least < FEW:
+        model = Model(*[dictionary(sets[y]) for y in (1, 0)], (), prior)
     x = np.array([r[:-1] for r in rows])
     model.weights = tuple(fit_logistic(x, np.array([r[-1] for r in rows], float)))
     return model

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
-from .quality_clf import fit_logistic, labelled_sample, score_texts
+from .quality_clf import FEW, fit_logistic, labelled_sample, score_texts
 
 MAX_SAMPLE = 4000
 #: Characters a row that the rows of a class may have on average, to bound the driver's memory; no text is cut.
@@ -254,6 +254,20 @@ class Model:
             return []
         return [w for w in viterbi(lattice(run, spaced=True), self.chars).split("^") if w]
 
+    def learn(self, texts: dict[int, list[str]]) -> None:
+        """Take the evidence of grams from clean (0) and toxic (1) texts."""
+        seen = {y: Counter() for y in (0, 1)}
+        for y in (0, 1):
+            for token, k in Counter(w for t in texts[y] for w in set(t.lower().split())).items():
+                for word in self.restore(token):
+                    for g in set(grams(word)):
+                        seen[y][g] += k
+        share = len(texts[1]) / len(texts[0])
+        self.evidence, self._cache = {}, {}
+        for g, k in seen[1].items():
+            if (x := math.log((k + 0.5) / (seen[0][g] * share + SMOOTH))) > 0:
+                self.evidence[g] = x
+
     def of_word(self, word: str) -> float:
         """The strongest evidence among a restored word's grams."""
         return max([self.evidence.get(g, 0.0) for g in grams(word)], default=0.0)
@@ -296,25 +310,20 @@ def train(sample: list[tuple[str, int]], chars: CharModel | None = None) -> Mode
     """Fit evidence and curve on labelled texts; without a character model of the corpus their words make one."""
     n = Counter(y for _, y in sample)
     prior = n[1] / len(sample) if sample else 0.0
-    halves = {(y, k): [t for t, z in sample if z == y][k::2] for y in (0, 1) for k in (0, 1)}
-    words = {y: Counter() for y in (0, 1)}
-    for y in (0, 1):
-        for text in halves[y, 0]:
-            words[y].update(set(text.lower().split()))
-    model = Model(chars or CharModel(plain_words(words[0] + words[1])), {}, (), prior)
-    if min(n[0], n[1]) < 8:
+    sets = {y: [t for t, z in sample if z == y] for y in (0, 1)}
+    if chars is None:
+        chars = CharModel(plain_words(Counter(w for t, _ in sample for w in set(t.lower().split()))))
+    model = Model(chars, {}, (), prior)
+    least = min(n[0], n[1])
+    if not least:
         return model
-    seen = {y: Counter() for y in (0, 1)}
-    for y, count in words.items():
-        for token, k in count.items():
-            for word in model.restore(token):
-                for g in set(grams(word)):
-                    seen[y][g] += k
-    share = len(halves[1, 0]) / len(halves[0, 0])
-    for g, k in seen[1].items():
-        if (x := math.log((k + 0.5) / (seen[0][g] * share + SMOOTH))) > 0:
-            model.evidence[g] = x
-    rows = [(*model.measures(t), y) for y in (0, 1) for t in halves[y, 1]]
+    # with few rows in a class the two halves take turns, and both give the last evidence; a lone row stands on both sides
+    rows = []
+    for k in (0, 1) if least < FEW else (0,):
+        model.learn({y: sets[y][k::2] or sets[y] for y in (0, 1)})
+        rows += [(*model.measures(t), y) for y in (0, 1) for t in (sets[y][1 - k :: 2] or (sets[y] if k == 0 else []))]
+    if least < FEW:
+        model.learn(sets)
     x = np.array([r[:-1] for r in rows])
     # the sample may hold more toxic rows than the labels; the curve is for the classes as sampled
     model.weights = tuple(fit_logistic(x, np.array([r[-1] for r in rows], float), ridge=0.1))

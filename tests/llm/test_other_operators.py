@@ -110,6 +110,19 @@ def test_classifiers(spark, labelled, label, module):
     assert quality_clf.score_texts(docs.limit(0), model, 0.5).count() == 0
 
 
+@pytest.mark.parametrize(("label", "module"), [("quality", quality_clf), ("toxic", toxicity)])
+@pytest.mark.parametrize("rows", [1, 2, 7, 15])
+def test_classifiers_with_a_rare_class(spark, labelled, label, module, rows):
+    docs, labels = labelled
+    sample = quality_clf.labelled_sample(docs, labels, label, 500, 5000)
+    rare = int(label == "toxic")
+    kept, rest = [[t for t, y in sample if y == rare][:150], [t for t, y in sample if y != rare]]
+    model = module.train([(t, 1 - rare) for t in rest[:150]] + [(t, rare) for t in kept[:rows]])
+    assert np.isfinite(model.weights).all()
+    scores = {y: np.median([model.score(t.encode()) for t in texts]) for y, texts in ((rare, kept[50:]), (1 - rare, rest[150:]))}
+    assert scores[1] > scores[0] + (0.1 if rows > 2 else 0)
+
+
 @pytest.mark.parametrize("hidden", ["m0ronic", "m o r o n i c", "moroooonic", "M0R0N1C!!", "m.o.r.o.n.i.c", "mor*nic", "(moronic)"])
 def test_deobfuscation(spark, labelled, hidden):
     docs, labels = labelled
