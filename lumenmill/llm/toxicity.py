@@ -97,10 +97,11 @@ class CharModel:
         else:
             self.keys.extend(k for k, _ in rows)
             self.counts.extend(n for _, n in rows)
-        self._costs: dict[str, float] = {}
+        self._shares: dict[str, float] = {}
+        self._contexts: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_costs": {}}
+        return self.__dict__ | {"_shares": {}, "_contexts": {}}
 
     def count(self, kind: str, text: str) -> int:
         """How often a gram (kind ``+``) or a context (``-``) was seen."""
@@ -108,22 +109,27 @@ class CharModel:
         at = bisect_left(self.keys, key)
         return self.counts[at] if at < len(self.keys) and self.keys[at] == key else 0
 
-    def cost(self, context: str, c: str) -> float:
-        """-log P(c | context)."""
-        found = self._costs.get(context + c)
+    def share(self, context: str, c: str) -> float:
+        """P(c | context), from that after the context without its first letter."""
+        found = self._shares.get(context + c)
         if found is None:
-            p = 1 / 200
-            for k in range(len(context) + 1):
-                past = context[len(context) - k :]
-                if not (n := self.count("-", past)):
-                    break
-                p = (self.count("+", past + c) + BACK_OFF * p) / (n + BACK_OFF)
-            found = -math.log(p)
-            if len(self._costs) >= CACHE:
-                self._costs.clear()
-            self._costs[context + c] = found
+            n = self._contexts.get(context)
+            if n is None:
+                if len(self._contexts) >= CACHE:
+                    self._contexts.clear()
+                n = self._contexts[context] = self.count("-", context)
+            found = self.share(context[1:], c) if context else 1 / 200
+            if n:
+                found = (self.count("+", context + c) + BACK_OFF * found) / (n + BACK_OFF)
+            if len(self._shares) >= 4 * CACHE:
+                self._shares.clear()
+            self._shares[context + c] = found
         return found
 
+    def cost(self, context: str, c: str) -> float:
+        """-log P(c | context)."""
+        return -math.log(self.share(context, c))
+
 
 def hash_of(text: str) -> int:
     """A 64-bit hash that is the same in every process."""
@@ -212,6 +218,12 @@ def viterbi(places: list[list[tuple[str, float]]], model: CharModel) -> str:
     states: dict[str, tuple[float, tuple]] = {START: (0.0, ())}
     for choices in [*places, [("^", 0.0)]]:
         following: dict[str, tuple[float, tuple]] = {}
+        if len(states) == len(choices) == 1:  # nothing to choose: what all paths share needs no cost
+            [(context, (cost, path))], [(piece, _)] = states.items(), choices
+            for c in piece:
+                context = START if c == "^" else context[1:] + c
+            states = {context: (cost, (path, piece) if piece else path)}
+            continue
         for context, (cost, path) in states.items():
             for piece, extra in choices:
                 at, total = context, cost + extra
