@@ -1,9 +1,11 @@
 """Secret scans with DataFrame expressions only.
 
-Three patterns give the base spans. Beyond them, every run of 20 or more token characters is scored under two
+Three patterns give the base spans. Beyond them, every run of ``MIN_CHARS`` or more token characters is scored under two
 first-order character Markov models, one of random strings and one of ordinary identifiers; it is a secret when the
-log-likelihood ratio is at least ``MIN_RATIO`` in all and ``MIN_MEAN`` for each step. Spans found so that overlap a base
-span are left to it.
+log-likelihood ratio is at least ``MIN_RATIO`` in all and ``MIN_MEAN`` for each step. Of other runs, the segments of
+``MIN_CHARS`` or more that reach both are secrets: a segment ends at its highest sum once that has fallen by
+``MIN_RATIO`` or to nothing, so that several in one run are all found. Spans found so that overlap a base span are left
+to it.
 
 The models are trained from labelled samples (token, random); :func:`labelled_samples` makes a default set by rule.
 The counts that reach the driver are bounded by the square of the alphabet.
@@ -27,7 +29,8 @@ ACCESS, ACCESS_CHARS = r"AKIA[A-Z0-9]+", 20
 HEX, HEX_CHARS = r"[0-9a-f]{24,}", 24
 KINDS = ("assign", "access", "hex", "markov")
 
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+MIN_CHARS = 16
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}"
 MIN_RATIO, MIN_MEAN = 12.0, 0.6
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLES = 4000
@@ -104,12 +107,42 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
     return F.when(F.size(found) > 0, spans).otherwise(none)
 
 
-def _ratio(token: Column, ratios: Column) -> Column:
-    """Sum of the log-likelihood ratios of the token's steps."""
+def _steps(token: Column, ratios: Column) -> Column:
+    """The log-likelihood ratios of the token's steps."""
     places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     n = len(ALPHABET)
-    steps = F.zip_with(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places) - 1), lambda a, b: F.get(ratios, a * n + b))
-    return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
+    return F.zip_with(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places) - 1), lambda a, b: F.get(ratios, a * n + b))
+
+
+def _ratio(token: Column, ratios: Column) -> Column:
+    """Sum of the log-likelihood ratios of the token's steps."""
+    return F.aggregate(_steps(token, ratios), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _segments(steps: Column) -> Column:
+    """The random segments (first, last) of a token by its steps, characters counted from 0."""
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    zero = F.lit(0.0)
+
+    def state(at: Column, total: Column, first: Column, top: Column, last: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), total.alias("total"), first.alias("first"), top.alias("top"), last.alias("last"), out.alias("out"))
+
+    def closed(acc: Column) -> Column:
+        size = acc["last"] - acc["first"]
+        good = (acc["top"] >= MIN_RATIO) & (acc["top"] >= MIN_MEAN * size) & (size + 1 >= MIN_CHARS)
+        return F.when(good, F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        at, total = acc["at"] + 1, acc["total"] + x
+        over = (total <= 0) | (total <= acc["top"] - MIN_RATIO)
+        return (
+            F.when(over, state(at, zero, at, zero, at, closed(acc)))
+            .when(total > acc["top"], state(at, total, acc["first"], total, at, acc["out"]))
+            .otherwise(state(at, total, acc["first"], acc["top"], acc["last"], acc["out"]))
+        )
+
+    nought = F.lit(0)
+    return F.aggregate(steps, state(nought, zero, nought, zero, nought, none), step, closed)
 
 
 def find_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
@@ -123,12 +156,20 @@ def find_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
     x = x.select("doc_id", F.sort_array(F.concat(assign, access, hexes)).alias("base"), "markov")
 
     def random(s: Column) -> Column:
-        steps = s["stop"] - s["start"] - 1
-        score = _ratio(s["text"], scores)
-        return (score >= MIN_RATIO) & (score >= MIN_MEAN * steps)
+        steps = _steps(s["text"], scores)
+        score = F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
+        whole = (score >= MIN_RATIO) & (score >= MIN_MEAN * F.size(steps))
+
+        def part(x: Column) -> Column:
+            size = x["last"] - x["first"] + 1
+            start = s["start"] + x["first"]
+            return F.struct(start.alias("start"), s["kind"].alias("kind"), (start + size).alias("stop"), F.substring(s["text"], x["first"] + 1, size).alias("text"))
+
+        return F.when(whole, F.array(s)).otherwise(F.transform(_segments(steps), part))
 
-    free = F.filter("markov", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return x.select("doc_id", "base", F.sort_array(F.concat("base", F.filter(free, random))).alias("spans"))
+    found = F.flatten(F.transform("markov", random))
+    free = F.filter(found, lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    return x.select("doc_id", "base", F.sort_array(F.concat("base", free)).alias("spans"))
 
 
 def listed(spans: str) -> Column:

@@ -65,6 +65,21 @@ def test_markov_models_on_held_out_strings(spark):
     assert sum(r["random"] == r["hit"] for r in rows) > 0.95 * len(rows)
 
 
+def test_secrets_inside_longer_runs(spark):
+    key, other = "x9Kq2LmZ7vTnR4bWcY8sQ1pJ", "Zt4Rq8XwK1vB6nLpD3mYc7Hs"
+    ordinary = "account/customer/message/request/response/handler/listener/"
+    rows = [
+        (0, f"session_cookie_value_of_the_request_message_handler={key}"), (1, f"{ordinary}{key}"), (2, f"{ordinary}{key}/{ordinary * 2}{other}/{ordinary}"),
+        (3, f"a {key[:16]} b"), (4, ordinary * 3), (5, "customer_account_number"), (6, key),
+    ]
+    ratios = secret_scan.ratio_table(secret_scan.labelled_samples(spark))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [rows[r["doc_id"]][1][s["start"] : s["stop"]] for s in r["spans"]] for r in secret_scan.find_secrets(df, ratios).collect()}
+    for i, want in ((0, [key]), (1, [key]), (2, [key, other])):
+        assert len(got[i]) == len(want) and all(w[2:-2] in g and len(g) < 34 for g, w in zip(got[i], want, strict=True)), got[i]
+    assert got[3] == [key[:16]] and got[4] == got[5] == [] and got[6] == [key]
+
+
 def test_training_texts_are_whole(spark):
     long = "fine words here " * 2000 + "moronic"
     docs = spark.createDataFrame([(i, f"{long} {i}") for i in range(1, 40)], "doc_id long, text string")
