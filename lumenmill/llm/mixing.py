@@ -2,9 +2,9 @@
 
 Every document is shuffled inside its source by the MD5 of its id. A copy of a document gets a virtual start and finish
 time: the source's words before and through it (earlier copies of the whole source included), divided by the source's
-target. All copies are range-sorted by finish time. The targets sum to the budget, so virtual time 1 is the point where
-the budget is used up: the mix is truncated there, and the copy that a source has in service at that moment is cut at
-its target word.
+target. The targets sum to the budget, so virtual time 1 is the point where the budget is used up, and every source is at
+its target there: cutting each source at its target word equals truncating the mix. :func:`copies` cuts so; only
+:func:`emit` range-sorts the copies by finish time, as the query's amounts don't depend on their order.
 
 The cumulative sums never put a source into one task: they are taken inside (source, key range) cells, and the cells'
 totals are summed over a table of at most ``CELLS`` rows a source.
@@ -105,9 +105,8 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = copies(schedule(docs).drop("text"))
     # (source, before) names a document with words; those of size 0 have one row each, told apart by the id
     keys = ["doc_id", "source", "before", "size", "source_size", "target"]
-    mixed = rows.orderBy("finish", "doc_id", "copy")
     return (
-        mixed.groupBy(*keys).agg(F.sum("take").cast("long").alias("taken"), F.count(F.lit(1)).alias("_n"))
+        rows.groupBy(*keys).agg(F.sum("take").cast("long").alias("taken"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_rows", F.when(F.col("size") > 0, 1).otherwise(F.col("_n")).cast("int"))
         .withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows"))))
         .select("doc_id", "size", "source_size", "target", "taken")
