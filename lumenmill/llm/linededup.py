@@ -3,7 +3,8 @@
 Hashes of line keys (128 bits) are range-partitioned and sorted inside each range by document and position, so first
 occurrences are read off as the sorted rows stream by. A hot key is spread over ``salts`` ranges by document; the
 salted groups hold one row each in the step that joins them, so no task ever gets a whole hot key. What travels per
-document is a compressed keep bitmap: 64-line words, of which only those with a dropped line are stored.
+document is a compressed keep bitmap: one bit a line, up to the last word with a dropped line, and none for documents that
+lose nothing. Work is linear in a document's lines, so that very long texts cost no more a line than others.
 
 Edge cases: null or empty text is one empty line; an empty key (blank line) is never dropped; rows are named by
 (doc_id, hash of the text), and a null id is one id; repeated rows count as one document and are each returned; an empty
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, scratch, table
+from .common import BLANKS, ascii_lower, fresh, scratch, table
 
 SALTS = 64
 
@@ -30,17 +31,25 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
+def _all() -> Column:
+    """Keep bits of 64 lines that all stay."""
+    return F.lit(-1).cast("long")
+
+
 def _row_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, salts: int = SALTS) -> DataFrame:
-    """(doc_id, row_hash, drops): bitmaps of the rows that lose lines. ``drops`` maps a word's index to its keep bits.
+    """(doc_id, row_hash, drops): bitmaps of the rows that lose lines. ``drops`` has the keep bits of 64 lines a word, up
+    to the last word with a dropped line.
 
     A key of at least ``min_chars`` code points found in at least ``min_docs`` documents loses its lines: all of them,
     or, with ``keep_first``, all but the first by document and position.
     """
-    lines = docs.select("doc_id", _row_hash().alias("row_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    # the text is hashed below the explosion: above it, it would be hashed once a line
+    lines = docs.select("doc_id", _row_hash().alias("row_hash"), _lines(F.col("text")).alias("lines"))
+    lines = lines.select("doc_id", "row_hash", F.posexplode("lines").alias("pos", "line"))
     key = line_key(F.col("line"))
     lines = lines.withColumn("key", key).where(F.char_length("key") >= max(1, min_chars)).select(
         "doc_id", "row_hash", "pos",
@@ -70,47 +79,38 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     dropped = lines.join(hot, ["h1", "h2", "salt"])
     if keep_first:
         dropped = dropped.where(~(F.col("first") & F.col("opens")))
-    return (
-        dropped.groupBy("doc_id", "row_hash").agg(F.collect_set("pos").alias("at"))
-        .select(
-            "doc_id", "row_hash",
-            F.map_from_entries(
-                F.transform(
-                    F.array_distinct(F.transform("at", lambda p: F.shiftright(p, 6))),
-                    lambda w: F.struct(
-                        w.alias("word"),
-                        F.aggregate(
-                            F.filter("at", lambda p: F.shiftright(p, 6) == w),
-                            F.lit(-1).cast("long"),
-                            lambda bits, p: bits.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), p % 64))),
-                        ).alias("bits"),
-                    ),
-                )
-            ).alias("drops"),
-        )
+    # two steps under one partitioning: bits of a 64-line word, then the words of a row
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 64)
+    words = (
+        dropped.repartition("doc_id", "row_hash").groupBy("doc_id", "row_hash", F.shiftright("pos", 6).alias("word"))
+        .agg(F.bitwise_not(F.bit_or(bit)).alias("bits"))
+        .groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
     )
+    earlier = F.concat(F.array(F.lit(-1)), F.transform("words", lambda w: w["word"]))
+    filled = F.zip_with("words", earlier, lambda w, e: F.when(w.isNotNull(), F.concat(F.array_repeat(_all(), w["word"] - e - 1), F.array(w["bits"]))))
+    return words.select("doc_id", "row_hash", F.flatten(F.filter(filled, lambda w: w.isNotNull())).alias("drops"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``."""
-    marks = bitmaps.withColumnsRenamed({"doc_id": "_id", "row_hash": "_rh"})
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "drops")
-    x = docs.withColumn("_hash", _row_hash()).join(
-        marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_rh")), "left"
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
+    own_hash, own_id, mark, drops, left = fresh(docs, "_hash", "_id", "_mark", "_drops", "_kept")
+    marks = bitmaps.select(F.col("doc_id").alias(own_id), F.col("row_hash").alias(mark), F.col("drops").alias(drops))
+    x = docs.withColumn(own_hash, _row_hash()).join(
+        marks, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(own_hash) == F.col(mark)), "left"
     )
     lines = _lines(F.col("text"))
 
     def kept(line: Column, i: Column) -> Column:
         del line
-        bits = F.coalesce(F.element_at("drops", F.shiftright(i, 6)), F.lit(-1).cast("long"))
-        return F.getbit(bits, i % 64) == 1
+        return F.getbit(F.coalesce(F.get(F.col(drops), F.shiftright(i, 6)), _all()), i % 64) == 1
 
-    x = x.withColumn("_kept", F.when(F.col("drops").isNotNull(), F.filter(lines, kept)))
+    x = x.withColumn(left, F.when(F.col(drops).isNotNull(), F.filter(lines, kept)))
     return (
         x.withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("_kept"), F.lit(0).cast("long")))
-        .withColumn("kept_text", F.coalesce(F.array_join("_kept", "\n"), F.col("text"), F.lit("")))
-        .drop("_id", "_rh", "_hash", "_kept", "drops")
+        .withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size(left), F.lit(0).cast("long")))
+        .withColumn("kept_text", F.coalesce(F.array_join(left, "\n"), F.col("text"), F.lit("")))
+        .drop(own_id, mark, own_hash, left, drops)
     )
 
 
