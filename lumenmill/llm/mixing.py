@@ -1,33 +1,39 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame expressions only.
 
-Every document is shuffled inside its source by the MD5 of its id. A copy of a document gets a virtual start and finish
-time: the source's words before and through it (earlier copies of the whole source included), divided by the source's
-target. The targets sum to the budget, so virtual time 1 is the point where the budget is used up, and every source is at
-its target there: cutting each source at its target word equals truncating the mix. :func:`copies` cuts so; only
-:func:`emit` range-sorts the copies by finish time, as the query's amounts don't depend on their order.
+Every document is shuffled inside its source by a hash. A copy of a document gets a virtual start and finish time: the
+source's words before and through it (earlier copies of the whole source included), divided by the source's target. All
+copies that start before virtual time 1, when every source has had its target, stand in one global order by finish time;
+a running total of words goes along that order, and where it reaches the budget the mix ends, inside a document if need
+be. What a query takes from a document and what :func:`emit` returns are the rows before that cut.
 
-The cumulative sums never put a source into one task: they are taken inside (source, key range) cells, and the cells'
-totals are summed over a table of at most ``CELLS`` rows a source.
+Texts are read once for their sizes; the order is found on (id, source, size) rows, written to the shared folder, and
+texts are joined back once. No running total puts a source or the whole order into one task: totals are taken inside
+cells (ranges of the shuffle key in a source, ranges of finish time over all), whose number grows with the rows, and cell
+totals are added up over one row a cell. Ranges of finish time hold about equal words, as the queue serves at one rate.
 
 Edge cases: null text has size 0; the null source is a source of its own, last in order; documents of size 0 are taken
-0 times; repeated rows are separate documents with equal keys, which are interchangeable; a null id is shuffled as
-the empty string; all sizes 0 or an empty table gives targets of 0; other columns are
-kept by :func:`emit`, but for those named as its own.
+0 times; rows equal in every column are scheduled one after the other and share a place in the shuffle, rows with equal
+ids and other texts are separate documents; a null id is shuffled as the empty string; very long texts may be cut only by
+the end of the mix; all sizes 0 or an empty table gives targets of 0 and an empty mix; other columns are kept by
+:func:`emit`, but for those named as its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD, table
+from .common import WORD, discard, fresh, scratch, table
 
-#: Cells a source is dealt over, by the first three hex digits of the key.
-CELLS = 4096
+#: Rows that a cell holds on average, at most.
+CELL_ROWS = 20_000
 WEIGHTS = (1, 2, 3)
 #: No source is repeated more often than this.
 MAX_EPOCHS = 3
+#: What ties in finish time are broken by: all that names a copy.
+ORDER = ("finish", "source", "key", "size", "nth", "copy")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -51,71 +57,108 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return x.select("source", "source_size", F.least(F.col("cap"), F.col("w") * level).alias("target"))
 
 
-def schedule(docs: DataFrame, seed: str = "") -> DataFrame:
-    """Each document with size, its source's size and target, and ``before``: its source's words shuffled before it."""
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    docs = docs.drop("size", "source_size", "target", "before", "copy", "finish", "take")
-    x = docs.withColumn("size", size).withColumn("_key", key).withColumn("_cell", F.substring("_key", 1, 3))
-    inside = (
-        W.partitionBy("source", "_cell").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, -1)
-    )
-    x = x.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    cells = (
-        docs.select("source", F.substring(key, 1, 3).alias("_cell"), size.alias("size"))
-        .groupBy("source", "_cell").agg(F.sum("size").alias("cell_size"))
-    )
-    earlier = W.partitionBy("source").orderBy("_cell")
-    cells = cells.withColumn(
-        "_earlier", F.coalesce(F.sum("cell_size").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    )
-    goal = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")))
-    cells = cells.drop("cell_size").withColumnsRenamed({"source": "_s", "_cell": "_c"})
-    goal = goal.withColumnRenamed("source", "_g")
-    out = x.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
-    out = out.join(goal, F.col("source").eqNullSafe(F.col("_g")))
-    return out.withColumn("before", F.col("_inside") + F.col("_earlier")).drop(
-        "_key", "_cell", "_inside", "_earlier", "_s", "_c", "_g"
-    )
+def shuffle_key(seed: str) -> Column:
+    """A document's place inside its source: a hash of its id and text."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(seed), *own).cast("binary"))
 
 
-def copies(scheduled: DataFrame) -> DataFrame:
-    """One row for each copy that starts before the budget ends; one with a null ``copy`` for documents not taken."""
-    goal = F.floor("target")
-    n = F.when(
-        (F.col("size") > 0) & (goal > F.col("before")),
-        F.ceil((goal - F.col("before")) / F.col("source_size")),
-    )
-    at = F.col("copy") * F.col("source_size") + F.col("before")
-    return (
-        scheduled.withColumn("copy", F.explode_outer(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1))))
-        .withColumn("finish", (at + F.col("size")) / F.col("target"))
-        .withColumn("take", F.when(F.col("copy").isNull(), 0).otherwise(F.least(F.col("size"), goal - at)))
-    )
+def row_hash(docs: DataFrame) -> Column:
+    """Tells rows apart that are equal in id, source and text but not in other columns."""
+    kinds = (T.MapType, T.VariantType)
+    return F.xxhash64(*[c.name for c in docs.schema.fields if not isinstance(c.dataType, kinds)])
+
+
+def _hex_digits(rows: int) -> int:
+    """Hex digits of the shuffle key that keep a cell at ``CELL_ROWS`` rows."""
+    digits = 1
+    while rows > CELL_ROWS << 4 * digits:
+        digits += 1
+    return digits
+
+
+def _before(rows: DataFrame, group: list[str], cell: str, order: list[Column], words: Column, name: str) -> DataFrame:
+    """Adds the words before each row: a running total inside its cell, and the totals of the cells before."""
+    inside = W.partitionBy(*group, cell).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    cells = rows.groupBy(*group, cell).agg(F.sum(words).alias("_words"))
+    earlier = W.partitionBy(*group).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
+    names = {c: f"_c_{c}" for c in (*group, cell)}
+    cells = cells.withColumn("_earlier", F.coalesce(F.sum("_words").over(earlier), F.lit(0))).drop("_words").withColumnsRenamed(names)
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in names.items()]
+    out = rows.withColumn("_inside", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(cells, same)
+    return out.withColumn(name, F.col("_inside") + F.col("_earlier")).drop("_inside", "_earlier", *names.values())
+
+
+def schedule(docs: DataFrame, seed: str = "", other: Column | None = None) -> DataFrame:
+    """(doc_id, source, key, other, size, same, source_size, target, before), one row for ``same`` equal rows of ``docs``.
+
+    ``before`` is the words of the source that the shuffle puts before the first of them. Backed by a scratch table.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", "source", shuffle_key(seed).alias("key"), (F.lit(0).cast("long") if other is None else other).alias("other"), size.alias("size"))
+    sized = scratch(rows, "sizes")
+    cell = F.substring("key", 1, _hex_digits(sized.count()))
+    x = sized.groupBy("doc_id", "source", "key", "other", "size").agg(F.count(F.lit(1)).alias("same")).withColumn("cell", cell)
+    words = F.col("size") * F.col("same")
+    out = _before(x, ["source"], "cell", [F.col("key"), F.col("size"), F.col("other")], words, "before").drop("cell")
+    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "_source")
+    out = out.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    out._scratch = sized._scratch
+    return out
+
+
+def queued(scheduled: DataFrame) -> DataFrame:
+    """The copies (doc_id, source, key, other, size, nth, copy, finish, take) of the mix: those before the budget's end.
+
+    ``nth`` counts the equal rows of a schedule's row, ``copy`` the earlier epochs of the source.
+    """
+    start = F.col("copy") * F.col("source_size") + F.col("before") + F.col("nth") * F.col("size")
+    epochs = F.sequence(F.lit(0).cast("long"), F.floor(F.col("target") / F.col("source_size")))
+    x = scheduled.where("size > 0").withColumn("copy", F.explode(epochs)).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1)))
+    x = x.withColumn("start", start).where(F.col("start") < F.col("target"))
+    x = x.withColumn("finish", (F.col("start") + F.col("size")) / F.col("target"))
+    x = x.select("doc_id", "source", "key", "other", "size", "nth", "copy", "finish")
+    whole = scheduled.agg(F.coalesce(F.sum(F.col("size") * F.col("same")), F.lit(0)).alias("budget"), F.sum("same").alias("rows")).first()
+    cells = max(1, (whole["rows"] or 0) // CELL_ROWS)
+    x = x.withColumn("cell", F.floor(F.least("finish", F.lit(1.0)) * cells))
+    order = [F.col(c).asc_nulls_last() for c in ORDER]
+    x = _before(x, [], "cell", order, F.col("size"), "served").drop("cell")
+    left = F.lit(whole["budget"]).cast("long") - F.col("served")
+    return x.where(left > 0).withColumn("take", F.least("size", left)).drop("served")
 
 
 def emit(docs: DataFrame, seed: str = "") -> DataFrame:
     """The mix in its order: a row for each copy taken, with ``copy``, ``finish`` and ``take`` (words of it to use)."""
-    return copies(schedule(docs, seed)).where(F.col("copy").isNotNull()).orderBy("finish", "doc_id", "copy")
+    docs = docs.drop("copy", "finish", "take")
+    own, place, nth, key, other = fresh(docs, "_id", "_row", "_nth", "_key", "_other")
+    taken = queued(schedule(docs, seed, row_hash(docs)))
+    taken = taken.select(F.col("doc_id").alias(own), F.col("key").alias(key), F.col("other").alias(other), F.col("nth").alias(nth), "copy", "finish", "take")
+    # rows equal in all columns stand for each other: one of them is joined to all copies
+    texts = docs.withColumn(place, shuffle_key(seed)).withColumn(key + "_", row_hash(docs))
+    first = W.partitionBy(place, key + "_").orderBy(F.lit(0))
+    texts = texts.withColumn(nth + "_", F.row_number().over(first)).where(F.col(nth + "_") == 1)
+    out = texts.join(taken, (F.col(place) == F.col(key)) & (F.col(key + "_") == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(own)))
+    out = out.orderBy("finish", F.col("source").asc_nulls_last(), place, nth, "copy")
+    return out.drop(own, place, nth, key, other, key + "_", nth + "_")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes from each document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = copies(schedule(docs).drop("text"))
-    # (source, before) names a document with words; those of size 0 have one row each, told apart by the id
-    keys = ["doc_id", "source", "before", "size", "source_size", "target"]
-    return (
-        rows.groupBy(*keys).agg(F.sum("take").cast("long").alias("taken"), F.count(F.lit(1)).alias("_n"))
-        .withColumn("_rows", F.when(F.col("size") > 0, 1).otherwise(F.col("_n")).cast("int"))
-        .withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows"))))
-        .select("doc_id", "size", "source_size", "target", "taken")
+    plan = schedule(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    kept = scratch(plan, "schedule")
+    discard(plan)
+    names = ["doc_id", "source", "key", "nth"]
+    sums = queued(kept).groupBy(*names).agg(F.sum("take").alias("taken")).withColumnsRenamed({c: f"_{c}" for c in names})
+    rows = kept.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1)))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    return rows.join(sums, same, "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 
 
 OP2_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS k,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -126,14 +169,19 @@ WITH d AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c
 ), g AS (
-  SELECT source, source_size, least(cap, w * (SELECT max(level) FROM l)) AS target FROM l
+  SELECT source, source_size, total, least(cap, w * (SELECT max(level) FROM l)) AS target FROM l
 ), x AS (
-  SELECT d.*, g.source_size, g.target, floor(g.target)::BIGINT AS goal,
+  SELECT d.*, g.source_size, g.target, g.total, row_number() OVER () AS row,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), e AS (
+  SELECT *, unnest(range(4)) AS copy FROM x WHERE size > 0
+), q AS (
+  SELECT *, (copy * source_size + before + size)::DOUBLE / target AS finish FROM e WHERE copy * source_size + before < target
+), r AS (
+  SELECT *, coalesce(sum(size) OVER (ORDER BY finish, source NULLS LAST, k, size, before, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS served FROM q
+), t AS (
+  SELECT row, sum(greatest(0, least(size, total - served)))::BIGINT AS taken FROM r GROUP BY row
 )
-SELECT doc_id, size, source_size, target,
-  CASE WHEN size = 0 THEN 0 ELSE
-    (goal // source_size) * size + greatest(0, least(size, goal % source_size - before)) END::BIGINT AS taken
-FROM x
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM x LEFT JOIN t USING (row)
 """

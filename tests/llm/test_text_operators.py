@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -35,6 +36,45 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def thue_morse(n):
+    """A word over a and b, and its complement: polynomial hashes modulo a power of two can't tell them apart."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [3, 5, 11])
+def test_equality_of_words_and_lines(n):
+    a, b = thue_morse(n)
+    got = quality_rules.measure(Texts(pa.array([f"{a}\n{b}", f"{a}\n{a}", f"{a} x\n{b} x\n{a} x"])))
+    assert got["n_dup_lines"].tolist() == [0, 1, 1]
+    one, two = minhash.shingle_sets(Texts(pa.array([a, b])), 2)
+    assert one.tolist() != two.tolist()
+
+
+def test_spans_of_every_length():
+    text = "".join(chr(33 + (i * i) % 90) for i in range(400))
+    t = Texts(pa.array([None, text, ""]))
+    starts, ends = zip(*[(i, i + n) for n in (*range(20), 63, 64, 65, 130) for i in range(0, 260, 7)], strict=True)
+    import numpy as np
+
+    got = t.hash_spans(np.array(starts), np.array(ends)).tolist()
+    by = {}
+    for a, b, h in zip(starts, ends, got, strict=True):
+        assert by.setdefault(h, text[a:b]) == text[a:b]
+    assert len(by) == len({text[a:b] for a, b in zip(starts, ends, strict=True)})
+
+
+def test_long_inputs_keep_fewer_levels(monkeypatch):
+    import numpy as np
+
+    keys = np.array([(i * i) % 97 for i in range(3000)] + [1, 2, 3] * 900 + [7] * 1500, np.uint64)
+    every = quality_rules.longest_repeats(keys)
+    monkeypatch.setattr(quality_rules, "DENSE", 10)
+    assert every.tolist() == quality_rules.longest_repeats(keys).tolist() and every.max() == 3000 - 97
+
+
 def key(r):
     return tuple((x is None, x) for x in r)
 
@@ -89,6 +129,18 @@ def test_line_dedup(docs, empty, keep_first):
     assert linededup.apply_bitmaps(empty, linededup.keep_bitmaps(empty)).count() == 0
 
 
+def test_line_dedup_of_long_documents(spark):
+    """Work is linear in lines: 200 000 of them in each of ten documents, with clashing columns."""
+    line = "if(i % 3 = 0, concat('hot ', i), concat('line ', id, ' ', i))"
+    df = spark.range(10).selectExpr("id AS doc_id", f"array_join(transform(sequence(1, 200000), i -> {line}), '\n') AS text", "1 AS _id", "2 AS _hash", "3 AS _drops", "4 AS _kept")
+    began = time.perf_counter()
+    out = linededup.apply_bitmaps(df, linededup.keep_bitmaps(df))
+    assert out.columns[:6] == df.columns
+    got = out.select("n_lines", "n_dropped", F.size(F.split("kept_text", "\n")).alias("left"), "_id", "_kept").collect()
+    assert [tuple(r) for r in got] == [(200_000, 66_666, 133_334, 1, 4)] * 10
+    assert time.perf_counter() - began < 120
+
+
 def test_long_bitmaps(spark):
     text = "\n".join("hot" if i % 3 == 0 else f"line {i}" for i in range(400))
     df = spark.createDataFrame([(i, text.replace("line", f"line{i}")) for i in range(10)], "doc_id long, text string")
@@ -194,28 +246,89 @@ def test_decontamination(spark, docs, empty, block):
     assert decontam.find_contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_mixing(spark, docs, empty):
-    rows = mixing.schedule(docs).collect()
-    assert len(rows) == len(ROWS)
-    total = sum(r["size"] for r in rows)
-    goal = {r["source"]: (r["source_size"], r["target"]) for r in rows}
-    assert sum(t for _, t in goal.values()) == pytest.approx(total)
-    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(sorted(goal, key=lambda s: (s is None, s or "")))}
-    free = [t / weight[s] for s, (n, t) in goal.items() if t < 3 * n]
-    assert all(x == pytest.approx(free[0]) for x in free) and all(t <= 3 * n for n, t in goal.values())
+def queue_by_hand(rows, key):
+    """Weighted fair queueing, one row after the other: (row, copy) -> words, and targets."""
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    by = defaultdict(list)
+    for i, (_, _, src) in enumerate(rows):
+        by[src].append(i)
+    total = {src: sum(size[i] for i in own) for src, own in by.items()}
+    order = sorted(by, key=lambda x: (x is None, x or ""))
+    weight = {src: (1, 2, 3)[k % 3] for k, src in enumerate(order)}
+    free, goal = set(by), {}
+    while free:  # targets over the cap are fixed, the rest is shared again
+        left = sum(size) - sum(goal.values())
+        level = left / sum(weight[x] for x in free)
+        over = {x for x in free if level * weight[x] > 3 * total[x]}
+        for x in over or free:
+            goal[x] = 3 * total[x] if over else level * weight[x]
+        free = free - over if over else set()
+    queue = []
+    for src, own in by.items():
+        at = 0
+        for c in range(4):
+            for i in sorted(own, key=lambda i: (key(rows[i]), size[i])):
+                if size[i] and at < goal[src]:
+                    queue.append(((at + size[i]) / goal[src], src is None, src or "", key(rows[i]), c, i))
+                at += size[i]
+    out, left = defaultdict(int), sum(size)
+    for *_, i in sorted(queue):
+        out[i] += min(left, size[i])
+        left -= min(left, size[i])
+    return out, goal, size
+
+
+def shuffle_key(row):
+    i, text, _ = row
+    return hashlib.md5(f"{'' if i is None else i}:{hashlib.md5((text or '').encode()).hexdigest()}".encode()).hexdigest()
+
+
+def test_mixing(spark, docs, empty, tmp_path):
+    taken, goal, size = queue_by_hand(ROWS, shuffle_key)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op2_mix(spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["size"], r["taken"]) for r in got), key=key) == sorted(((r[0], size[i], taken[i]) for i, r in enumerate(ROWS)), key=key)
+    assert sum(r["taken"] for r in got) == sum(size) and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert {round(r["target"], 6) for r in got} == {round(t, 6) for t in goal.values()}
     emitted = mixing.emit(docs).collect()
-    taken = defaultdict(int)
-    for r in emitted:
-        assert 0 < r["take"] <= r["size"]
-        taken[r["source"]] += r["take"]
+    assert mixing.emit(docs).columns == [*docs.columns, "copy", "finish", "take"]
     assert [r["finish"] for r in emitted] == sorted(r["finish"] for r in emitted)
-    for s, (n, t) in goal.items():
-        assert taken[s] == int(t), (s, n)
+    words = Counter()
+    for r in emitted:
+        words[r["doc_id"], r["text"]] += r["take"]
+    want = Counter()
+    for i, n in taken.items():
+        want[ROWS[i][0], ROWS[i][1]] += n
+    assert words == +want
     assert [tuple(r) for r in emitted] == [tuple(r) for r in mixing.emit(docs).collect()]
     assert mixing.emit(empty).count() == 0 and mixing.emit(docs.where("doc_id < 3")).count() == 0
-    big = mixing.schedule(docs).agg(F.sum("size")).first()[0]
-    assert big == total
-    assert hashlib.md5(b"").hexdigest()  # the shuffle key of a null id
+    assert {r["taken"] for r in got} != {r["size"] for r in got}
+
+
+def test_mix_comes_from_the_order(spark, docs, monkeypatch):
+    """The running total goes along a sort by finish time, and another order gives other amounts."""
+    plan = mixing.schedule(docs)
+    amounts = lambda: {(r["doc_id"], r["key"], r["nth"], r["copy"]): r["take"] for r in mixing.queued(plan).collect()}
+    text = mixing.queued(plan)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [sum(size" in text and "finish" in text[text.index("Window [sum(size") :].split("\n")[0]
+    first = amounts()
+    monkeypatch.setattr(mixing, "ORDER", ("key", "nth", "copy", "finish"))
+    assert amounts() != first
+
+
+def test_mix_over_many_cells(spark, monkeypatch):
+    rows = [(i, "w " * (i % 7), f"s{i % 4}") for i in range(500)] + [(1000, "x " * 3000, "s0"), (1000, "x " * 3000, "s0"), (1000, "x y", "s0")]
+    taken, _, _ = queue_by_hand(rows, shuffle_key)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 10)
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, source string, _key int, key string")
+    got = Counter()
+    for r in mixing.emit(df).collect():
+        got[r["doc_id"], r["text"]] += r["take"]
+    want = Counter()
+    for i, n in taken.items():
+        want[rows[i][0], rows[i][1]] += n
+    assert got == +want
+    assert mixing.emit(df).columns[:5] == df.columns
 
 
 @pytest.mark.parametrize("n", range(6))
