@@ -17,6 +17,7 @@ null id is kept as it is; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,22 +90,81 @@ def ratio_table(samples: DataFrame, smooth: float = 0.5) -> list[float]:
     return out
 
 
+#: Steps of a run over an array after which what it found is put aside.
+PART = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _gather(items: Column, state: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]], kind: str) -> Column:
+    """Run over an array with a state; ``step`` gives the next state and an array of results, which are gathered.
+
+    An aggregate copies its state at every step, so results that it carried along would cost the square of their number.
+    Steps are taken in parts, and parts in parts of parts, so that few results travel with any of them.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def held(found: Column | dict[str, Column], out: Column) -> Column:
+        own = found if isinstance(found, dict) else {n: found[n] for n in state}
+        return F.struct(*[c.alias(n) for n, c in own.items()], out.alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        following, found = step(acc, x)
+        return held(following, F.concat(acc["out"], found))
+
+    def run(part: Column, at: Column | dict[str, Column], depth: int) -> Column:
+        if not depth:
+            return F.aggregate(part, held(at, none), one)
+        size = PART**depth
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.size(part) / size)).cast("int") - 1)
+
+        def block(acc: Column, b: Column) -> Column:
+            inner = _let(F.slice(part, b * size + 1, F.lit(size)), lambda p: run(p, acc, depth - 1))
+            return _let(inner, lambda r: held(r, F.concat(acc["out"], F.array(r["out"]))))
+
+        return F.aggregate(blocks, held(at, F.array().cast(f"array<array<{kind}>>")), block, lambda acc: held(acc, F.flatten(acc["out"])))
+
+    return _let(items, lambda v: F.when(F.size(v) <= PART, run(v, state, 0)["out"]).otherwise(run(v, state, 2)["out"]))
+
+
+SPAN = "struct<start:int,kind:int,stop:int,text:string>"
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """Spans of all matches, as structs (start, kind, stop, text), found from the pieces between them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int,text:string>>")
     sizes = F.zip_with(between, found, lambda b, m: F.struct(F.char_length(b).alias("gap"), m.alias("text")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         at = acc["at"] + x["gap"]
         stop = at + F.char_length(x["text"])
         one = F.struct(at.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x["text"].alias("text"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return {"at": stop}, F.array(one)
+
+    spans = _gather(F.filter(sizes, lambda x: x["text"].isNotNull()), {"at": F.lit(0)}, step, SPAN)
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    spans = F.aggregate(F.filter(sizes, lambda x: x["text"].isNotNull()), start, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, spans).otherwise(none)
+
+def _free(base: Column, found: Column) -> Column:
+    """The found spans that overlap no base span: one pass along the starts, one back, whatever their number."""
+    every = F.sort_array(F.concat(base, found))
+    none = F.array().cast(f"array<{SPAN}>")
+    markov = len(KINDS) - 1
+
+    def along(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        covered = (x["kind"] == markov) & (acc["reach"] > x["start"])
+        return {"reach": F.when(x["kind"] < markov, F.greatest(acc["reach"], x["stop"])).otherwise(acc["reach"])}, F.when(covered, none).otherwise(F.array(x))
+
+    def back(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        clear = (x["kind"] == markov) & (acc["next"] >= x["stop"])
+        return {"next": F.when(x["kind"] < markov, x["start"]).otherwise(acc["next"])}, F.when(clear, F.array(x)).otherwise(none)
+
+    left = F.reverse(_gather(every, {"reach": F.lit(0)}, along, SPAN))
+    return F.when(F.size(found) > 0, _gather(left, {"next": F.lit((1 << 31) - 1)}, back, SPAN)).otherwise(none)
 
 
 def _steps(token: Column, ratios: Column) -> Column:
@@ -121,28 +181,28 @@ def _ratio(token: Column, ratios: Column) -> Column:
 
 def _segments(steps: Column) -> Column:
     """The random segments (first, last) of a token by its steps, characters counted from 0."""
-    none = F.array().cast("array<struct<first:int,last:int>>")
-    zero = F.lit(0.0)
-
-    def state(at: Column, total: Column, first: Column, top: Column, last: Column, out: Column) -> Column:
-        return F.struct(at.alias("at"), total.alias("total"), first.alias("first"), top.alias("top"), last.alias("last"), out.alias("out"))
+    kind = "struct<first:int,last:int>"
+    none = F.array().cast(f"array<{kind}>")
+    zero, nought = F.lit(0.0), F.lit(0)
 
     def closed(acc: Column) -> Column:
         size = acc["last"] - acc["first"]
         good = (acc["top"] >= MIN_RATIO) & (acc["top"] >= MIN_MEAN * size) & (size + 1 >= MIN_CHARS)
-        return F.when(good, F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))).otherwise(acc["out"])
+        return F.when(good, F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last")))).otherwise(none)
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         at, total = acc["at"] + 1, acc["total"] + x
         over = (total <= 0) | (total <= acc["top"] - MIN_RATIO)
-        return (
-            F.when(over, state(at, zero, at, zero, at, closed(acc)))
-            .when(total > acc["top"], state(at, total, acc["first"], total, at, acc["out"]))
-            .otherwise(state(at, total, acc["first"], acc["top"], acc["last"], acc["out"]))
-        )
+        higher = total > acc["top"]
+        following = {
+            "at": at, "total": F.when(over, zero).otherwise(total), "first": F.when(over, at).otherwise(acc["first"]),
+            "top": F.when(over, zero).when(higher, total).otherwise(acc["top"]), "last": F.when(over | higher, at).otherwise(acc["last"]),
+        }
+        return following, F.when(over, closed(acc)).otherwise(none)
 
-    nought = F.lit(0)
-    return F.aggregate(steps, state(nought, zero, nought, zero, nought, none), step, closed)
+    # a last step that falls to nothing closes what is open
+    ended = F.concat(steps, F.array(F.lit(-math.inf)))
+    return _gather(ended, {"at": nought, "total": zero, "first": nought, "top": zero, "last": nought}, step, kind)
 
 
 def find_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
@@ -168,7 +228,8 @@ def find_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
         return F.when(whole, F.array(s)).otherwise(F.transform(_segments(steps), part))
 
     found = F.flatten(F.transform("markov", random))
-    free = F.filter(found, lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    x = x.select("doc_id", "base", found.alias("found"))
+    free = F.when(F.size("base") > 0, _free(F.col("base"), F.col("found"))).otherwise(F.col("found"))
     return x.select("doc_id", "base", F.sort_array(F.concat("base", free)).alias("spans"))
 
 

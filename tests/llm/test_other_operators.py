@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -268,3 +269,27 @@ def test_pipeline_stages(spark, tmp_path):
     run = pipeline.run(spark, str(tmp_path))
     assert sorted((r["doc_id"], r["copy"], r["take"]) for r in run.collect()) == sorted((r["doc_id"], r["copy"], r["take"]) for r in d.collect())
     assert np.isfinite([r["finish"] for r in d.collect()]).all()
+
+
+def test_secrets_of_a_long_document(spark):
+    """Matches by the ten thousand cost the same each, and those beside and inside base spans are told apart."""
+    n = 20_000
+    parts = [f"token=abcdef{i} " if i % 2 else f"x9Kq2LmZ7vTnR4bWcY8s{i % 1000:03d} " for i in range(n)]
+    df = spark.createDataFrame([(1, "".join(parts))], "doc_id long, text string")
+    began = time.perf_counter()
+    r = secret_scan.find_secrets(df, secret_scan.ratio_table(secret_scan.labelled_samples(spark))).first()
+    at, want = 0, []
+    for i, p in enumerate(parts):
+        want.append((at, 0 if i % 2 else 3, at + len(p) - 1))
+        at += len(p)
+    assert [(s["start"], s["kind"], s["stop"]) for s in r["spans"]] == want
+    assert len(r["base"]) == n // 2 and time.perf_counter() - began < 60
+
+
+def test_gather_in_parts(spark):
+    rows = [(n, list(range(n))) for n in (0, 1, 63, 64, 65, 4096, 4097, 9000)]
+    df = spark.createDataFrame(rows, "n int, items array<int>")
+    step = lambda acc, x: ({"sum": acc["sum"] + x}, F.when(x % 3 == 0, F.array(acc["sum"])).otherwise(F.array().cast("array<long>")))
+    got = df.select("n", secret_scan._gather(F.col("items"), {"sum": F.lit(0).cast("long")}, step, "long").alias("out")).collect()
+    for n, out in got:
+        assert out == [i * (i - 1) // 2 for i in range(n) if i % 3 == 0]
