@@ -180,12 +180,43 @@ def test_near_duplicates(docs, empty, width):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
     left = minhash.drop_near_duplicates(docs, width, 80)
     assert left.columns == docs.columns
-    assert sorted(((r["doc_id"] for r in left.collect())), key=lambda i: (i is None, i)) == sorted((r[0] for r in ROWS if r[0] is None or want[r[0]] == r[0]), key=lambda i: (i is None, i))
+    once = {(i, text) for i, text, _ in ROWS if i is None or want[i] == i}
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=key) == sorted(once, key=key)
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicate_families(spark):
-    """Chains and stars whose smallest id resembles only some members."""
+def test_equal_ids_with_other_texts(spark):
+    b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "bcd")
+    rows = [(3, b, 0), (5, b, 0), (5, c, 0), (5, c, 0), (3, d, 0), (9, d + " z", 0), (None, c, 0), (None, c, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone int").withColumns({"_text": F.lit(1), "_mark": F.lit(2), "_nth": F.lit(3)})
+    got = Counter((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(df, 5, 80).collect())
+    assert got == Counter({(3, b): 1, (5, c): 1, (3, d): 1, (None, c): 2})
+    named = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, 5, 80).collect())
+    assert named == Counter({(3, 3, True): 2, (5, 3, False): 1, (5, 5, True): 2, (9, 3, False): 1, (None, None, True): 2})
+
+
+def test_recall_against_exact_similarity(spark):
+    """Pairs at a similarity just above the threshold, each apart from all others."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for k in range(300):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(60, 200))]
+        other = list(base)
+        other[rng.randrange(5, 25)] = other[rng.randrange(30, 55)] = "changed"
+        rows += [(2 * k, " ".join(base), None), (2 * k + 1, " ".join(other), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 5, 80).collect()}
+    want = components(rows, 5, 80)
+    linked = [i for i, c in want.items() if c != i]
+    assert 50 < len(linked) < 300 and got == want
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_duplicate_families(spark, block, monkeypatch):
+    """Chains and stars whose smallest id resembles only some members; with small blocks through rare shingles."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     import random
 
     rng = random.Random(5)
@@ -197,6 +228,8 @@ def test_near_duplicate_families(spark):
             for _ in range(rng.choice((2, 5, 6, 7, 8))):
                 w[rng.randrange(len(w))] = f"e{rng.randrange(10**9)}"
             rows.append((f * 100 + k, " ".join(w), None))
+    shared = " ".join(f"p{i}" for i in range(70))  # a passage that unlike documents share
+    rows += [(1000 + k, " ".join(f"o{k}x{j}" for j in range(30 + k % 9)) + " " + shared, None) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2, 80).collect()}
     assert got == components(rows, 2, 80)
