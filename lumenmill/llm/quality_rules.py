@@ -178,4 +178,41 @@ def quality_rules(docs: DataFrame, *, only_kept: bool = False) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
-    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("n_covered", "longest_repeat")
+
+
+OP6_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) - 1)) AS i, unnest([ws[i : i + 2] FOR i IN range(1, len(ws) - 1)]) AS x FROM w WHERE len(ws) >= 3
+), g2 AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM g) WHERE c > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g2) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), b AS MATERIALIZED (
+  SELECT w.doc_id, ws, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    len(ws) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(ws) AS base_failed
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)
+), t AS (  -- ten-word windows cover repeats of ten words or more
+  SELECT doc_id, unnest(range(1, n_words - 8)) AS i, unnest([ws[i : i + 9] FOR i IN range(1, n_words - 8)]) AS x FROM b WHERE NOT base_failed
+), t2 AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM t) WHERE c > 1
+), cov AS (
+  SELECT doc_id, count(DISTINCT p) AS n_covered FROM (SELECT doc_id, unnest(range(i, i + 10)) AS p FROM t2) GROUP BY doc_id
+), lim AS (  -- the longest repeat is too long where a window of one word more than allowed is found twice
+  SELECT doc_id, ws, n_words, greatest(10, 30 * n_words // 100 + 1) AS size FROM b SEMI JOIN t2 USING (doc_id)
+), u AS (
+  SELECT doc_id, md5(unnest([array_to_string(ws[i : i + size - 1], ' ') FOR i IN range(1, n_words - size + 2)])) AS h FROM lim WHERE n_words >= size
+), long AS (
+  SELECT doc_id FROM u GROUP BY doc_id HAVING count(*) > count(DISTINCT h)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * coalesce(n_covered, 0) <= 40 * n_words AND long.doc_id IS NULL AS kept
+FROM b LEFT JOIN cov USING (doc_id) LEFT JOIN long USING (doc_id)
+"""

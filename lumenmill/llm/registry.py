@@ -23,4 +23,12 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL, where SQL can express the query."""
-    return {"op1_chat_format": chat.OP1_SQL, "op2_mix": mixing.OP2_SQL, "op3_decontaminate": decontam.OP3_SQL, "op7_line_dedup": linededup.OP7_SQL, "op10_warc": warc.OP10_SQL}
+    return {
+        "op1_chat_format": chat.OP1_SQL,
+        "op2_mix": mixing.OP2_SQL,
+        "op3_decontaminate": decontam.OP3_SQL,
+        "op6_quality_rules": quality_rules.OP6_SQL,
+        "op7_line_dedup": linededup.OP7_SQL,
+        "op9_minhash_dedup": minhash.OP9_SQL,
+        "op10_warc": warc.OP10_SQL,
+    }
