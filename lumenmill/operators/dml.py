@@ -71,6 +71,57 @@ def merge(target: DataFrame, source: DataFrame, on: list[str], *, matched: Mappi
     return j.select(out)
 
 
+@dataclass(frozen=True)
+class When:
+    """A clause of MERGE: ``kind`` is matched, new (no target row) or gone (no source row). Without values it deletes.
+
+    ``where`` and ``values`` (column to new value) may name the columns of both sides by their aliases.
+    """
+
+    kind: str
+    where: Column | None = None
+    values: Mapping[str, Column] | None = None
+
+
+def merge_when(target: DataFrame, alias: str, source: DataFrame, on: Column, clauses: list[When]) -> tuple[DataFrame, DataFrame]:
+    """MERGE with clauses in order, the first that applies to a row counts: (kept rows, new rows).
+
+    Both sides have aliases (the target that of ``alias``), which the condition and the clauses use. A target row that several source rows match is an
+    error if a clause applies to matched rows.
+    """
+    columns = target.columns
+    t, s = target.withColumn("_target_row", F.monotonically_increasing_id()), source.withColumn("_source_row", F.lit(True))
+    holds = lambda w: F.lit(True) if w.where is None else F.coalesce(w.where, F.lit(False))
+    kinds = {w.kind for w in clauses}
+    j = t.join(s, on, "left")
+    matched = F.col("_source_row").isNotNull()
+    if "matched" in kinds and not j.where(matched).groupBy("_target_row").count().where("count > 1").isEmpty():
+        raise EngineError("MERGE_CARDINALITY", "several source rows match a target row")
+    at = F.lit(len(clauses))
+    for k in range(len(clauses) - 1, -1, -1):
+        side = {"matched": matched, "gone": ~matched, "new": F.lit(False)}[clauses[k].kind]
+        at = F.when(side & holds(clauses[k]), k).otherwise(at)
+    j = j.withColumn("_clause", at) if kinds & {"matched", "gone"} else j.dropDuplicates(["_target_row"]).withColumn("_clause", at)
+    own = lambda c: F.col(f"{alias}.`{c}`")
+    drops = [k for k, w in enumerate(clauses) if w.values is None and w.kind != "new"]
+    out = []
+    for c in columns:
+        value = own(c)
+        for k, w in enumerate(clauses):
+            if w.values and c in w.values and w.kind != "new":
+                value = F.when(F.col("_clause") == k, w.values[c]).otherwise(value)
+        out.append(value.cast(target.schema[c].dataType).alias(c))
+    kept = (j.where(~F.col("_clause").isin(drops)) if drops else j).select(out)
+    fresh = source.join(target, on, "left_anti")
+    taken, new = F.lit(False), target.limit(0).select([own(c).alias(c) for c in columns])
+    for w in clauses:
+        if w.kind == "new":
+            rows = fresh.where(~taken & holds(w))
+            taken = taken | holds(w)
+            new = new.unionByName(rows.select([w.values[c].cast(target.schema[c].dataType).alias(c) for c in columns if c in w.values]), allowMissingColumns=True)
+    return kept, new
+
+
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str], *, do_nothing: bool = False, columns: list[str] | None = None) -> DataFrame:
     """INSERT ... ON CONFLICT (keys) DO NOTHING, or DO UPDATE SET the given columns (all, by default)."""
     columns = [] if do_nothing else (columns or [c for c in rows.columns if c not in keys])
@@ -93,7 +144,7 @@ def with_identity(rows: DataFrame, column: str, start: int) -> DataFrame:
 
     Rows are numbered inside their partitions; only the partitions' sizes meet in one place.
     """
-    new = rows.where(F.col(column).isNull()).withColumn("_id", F.monotonically_increasing_id()).persist()
+    new = rows.where(F.col(column).isNull()).withColumn("_id", F.monotonically_increasing_id())
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = new.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -104,8 +155,11 @@ def with_identity(rows: DataFrame, column: str, start: int) -> DataFrame:
     return rows.where(F.col(column).isNotNull()).unionByName(numbered)
 
 
-def check(table: DataFrame, c: Constraints, resolve) -> None:
-    """Raise :class:`EngineError` where rows break a constraint; ``resolve`` gives other tables by name."""
+def check(table: DataFrame, c: Constraints, resolve, old: DataFrame | None = None) -> None:
+    """Raise :class:`EngineError` where rows break a constraint; ``resolve`` gives other tables by name.
+
+    With ``old``, whose rows are known to be right, ``table`` holds only the rows that join them.
+    """
     must = [*c.not_null, *c.primary_key]
     tests = [(F.col(x).isNull(), "NOT_NULL_VIOLATION", x) for x in dict.fromkeys(must)]
     tests += [(~F.coalesce(F.expr(e), F.lit(False)), "CHECK_VIOLATION", e) for e in c.checks]
@@ -115,8 +169,11 @@ def check(table: DataFrame, c: Constraints, resolve) -> None:
             if v:
                 raise EngineError(code, what)
     for keys in [k for k in (c.primary_key, *c.unique) if k]:
-        live = table.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-        if not live.groupBy(*keys).count().where("count > 1").isEmpty():
+        live = table.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).select(*keys)
+        twice = live.groupBy(*keys).count().where("count > 1").select(*keys)
+        if old is not None:
+            twice = twice.unionByName(live.join(old.select(*keys), list(keys), "left_semi"))
+        if not twice.isEmpty():
             raise EngineError("UNIQUE_VIOLATION", ", ".join(keys))
     for cols, other, names in c.foreign:
         live = table.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in cols])).select(*cols)

@@ -29,7 +29,8 @@ def match_any(df: DataFrame, key: str, cols: list[str], query: str, index: DataF
     terms = sorted({t for t in re.findall(r"[^\W_]+", query.lower())})
     if index is None:
         text = F.lower(F.concat_ws(" ", *cols))
-        x = df.select(key, *[text.rlike(rf"(?<![\p{{L}}\p{{N}}]){re.escape(t)}(?![\p{{L}}\p{{N}}])").alias(f"_h{k}") for k, t in enumerate(terms)])
+        whole = lambda t: text.contains(t) & text.rlike(rf"(?<![\p{{L}}\p{{N}}]){re.escape(t)}(?![\p{{L}}\p{{N}}])")  # noqa: E731  a plain search first
+        x = df.select(key, *[whole(t).alias(f"_h{k}") for k, t in enumerate(terms)])
         counts = x.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(f"_h{k}").cast("long")).alias(f"_d{k}") for k in range(len(terms))])
         score = reduce(lambda a, b: a + b, [F.when(F.col(f"_h{k}"), 1 + F.log(F.col("_n") / F.col(f"_d{k}"))).otherwise(0.0) for k in range(len(terms))], F.lit(0.0))
         return x.crossJoin(F.broadcast(counts)).select(key, score.alias("relevance")).where("relevance > 0")  # counts: one row

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenmill.operators.dml import EngineError
+from lumenmill.sources.shared import cut
+
 _AGGREGATES = {"SUM": F.sum, "COUNT": F.count, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
 
 
@@ -46,20 +49,19 @@ def unpivot(df: DataFrame, keep: list[str], columns: list[str], name: str, value
 def connect_by(df: DataFrame, node: str, parent: str, start: Column, *, max_depth: int = 1000) -> DataFrame:
     """Rows reachable from the start rows by parent links, with ``level`` and ``path``; cycles are cut by the path.
 
-    Level by level: each step joins only the last level, so the work follows the size of the result.
+    Level by level: each step joins only the last level, so the work follows the size of the result, and each level is
+    written to the shared folder, so plans don't grow. A deeper hierarchy is an error.
     """
-    spark = df.sparkSession
     path = F.array(F.col(node))
-    out = level = df.where(start).withColumn("level", F.lit(1)).withColumn("path", path).persist()
+    out = level = df.where(start).withColumn("level", F.lit(1)).withColumn("path", path)
     for depth in range(2, max_depth + 1):
         above = level.select(F.col(node).alias("_up"), F.col("path").alias("_path"))
         step = df.join(above, (F.col(parent) == F.col("_up")) & ~F.array_contains("_path", F.col(node)))
-        level = step.select(*df.columns, F.lit(depth).alias("level"), F.array_append("_path", F.col(node)).alias("path")).persist()
+        level = cut(step.select(*df.columns, F.lit(depth).alias("level"), F.array_append("_path", F.col(node)).alias("path")), "level")
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    del spark
-    return out
+    raise EngineError("RECURSION_LIMIT", f"the hierarchy is deeper than {max_depth} levels")
 
 
 def running(partition: list[str], order: list[Column]) -> W:
@@ -73,11 +75,11 @@ def moving(partition: list[str], order: list[Column], before: int, after: int =
 
 
 def recursive_fixpoint(seed: DataFrame, step, *, max_rounds: int = 1000) -> DataFrame:
-    """The union of seed, step(seed), step(step(seed)) ... with set semantics, to a fixpoint."""
-    total = last = seed.distinct().persist()
+    """The union of seed, step(seed), step(step(seed)) ... with set semantics, to a fixpoint; none within ``max_rounds`` is an error."""
+    total = last = cut(seed.distinct(), "round")
     for _ in range(max_rounds):
-        last = step(last).distinct().join(total, on=total.columns, how="left_anti").persist()
+        last = cut(step(last).distinct().join(total, on=total.columns, how="left_anti"), "round")
         if last.isEmpty():
-            break
+            return total
         total = total.unionByName(last)
-    return total
+    raise EngineError("RECURSION_LIMIT", f"no fixpoint after {max_rounds} rounds")

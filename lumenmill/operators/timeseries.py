@@ -43,7 +43,11 @@ def gap_fill(buckets: DataFrame, interval: str, keys: list[str], values: list[st
     span = buckets.groupBy(*keys).agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi"))
     grid = span.select(*keys, F.explode(F.sequence("_lo", "_hi", step)).alias("bucket"))
     w = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    filled = grid.join(buckets, [*keys, "bucket"], "left")
+    # a key may be null, and its rows belong together like those of any other
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "bucket")]
+    own = [F.col(f"g.{c}").alias(c) for c in (*keys, "bucket")]
+    rest = [F.col(f"b.{c}").alias(c) for c in buckets.columns if c not in (*keys, "bucket")]
+    filled = grid.alias("g").join(buckets.alias("b"), same, "left").select(*own, *rest)
     return filled.withColumns({v: F.last(v, ignorenulls=True).over(w) for v in values})
 
 

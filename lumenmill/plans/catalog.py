@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import operator_queries, sqltext
+from . import operator_queries, sqltext, surface_queries
 
-_PARTS = (sqltext, operator_queries)
+_PARTS = (sqltext, operator_queries, surface_queries)
 
 
 def queries() -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -11,9 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators import dml
+from .operators import dml, timeseries
 from .operators.dml import Constraints, EngineError
 from .plans import dialects, special, statements
+from .sources.shared import cut
+
+#: Changes of a table after which its plan is cut.
+CUT_EVERY = 16
+#: Session to the engine whose names are its temp views now.
+_active: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 @dataclass
@@ -24,19 +31,24 @@ class Table:
     rules: Constraints = field(default_factory=Constraints)
     next_id: int = 1
     triggers: list[tuple[str, str, str]] = field(default_factory=list)
+    changes: int = 0
+    properties: dict[str, str] = field(default_factory=dict)
 
 
 class Engine:
-    """A catalog over a Spark session. Changing a table replaces its plan; nothing is copied until an action."""
+    """A catalog over a Spark session. Changing a table replaces its plan; every ``CUT_EVERY`` changes it is written out.
+
+    Several engines of one session have names of their own: the temp views are those of the engine that ran last.
+    """
 
     def __init__(self, spark: SparkSession, dialect: str = "core"):
         self.spark, self.dialect = spark, dialect
         self.tables: dict[str, Table] = {}
         self.views: dict[str, str] = {}
-        self.procedures: dict[str, list[str]] = {}
+        self.procedures: dict[str, tuple[list[str], list[str]]] = {}
         self.sequences: dict[str, tuple[int, int, int | None]] = {}
         self.variables: dict[str, object] = {}
-        self.indexes: dict[str, tuple[str, tuple[str, ...]]] = {}
+        self.indexes: dict[str, tuple[str, tuple[str, ...], str]] = {}
         self.row_count = 0
         self.identity = 0
         special.register(spark)
@@ -44,6 +56,19 @@ class Engine:
 
     # --- catalog -------------------------------------------------------------------------
 
+    def activate(self) -> None:
+        """Make this engine's names the session's temp views."""
+        other = _active.get(self.spark)
+        if other is self:
+            return
+        if other is not None:
+            for name in (*other.tables, *other.views):
+                self.spark.catalog.dropTempView(name)
+        _active[self.spark] = self
+        for name, t in self.tables.items():
+            t.rows.createOrReplaceTempView(name)
+        self._refresh()
+
     def create_table(self, name: str, schema: str, rules: Constraints | None = None, *, if_not_exists: bool = False) -> None:
         """An empty table of a DDL schema."""
         if name.lower() in self.tables:
@@ -54,6 +79,7 @@ class Engine:
 
     def put(self, name: str, rows: DataFrame, rules: Constraints | None = None) -> None:
         """Make rows a table."""
+        self.activate()
         old = self.tables.get(name.lower())
         self.tables[name.lower()] = Table(rows, rules or Constraints(), old.next_id if old else 1)
         rows.createOrReplaceTempView(name)
@@ -63,17 +89,20 @@ class Engine:
         if name.lower() in self.tables:
             return self.tables[name.lower()].rows
         if name.lower() in self.views:
+            self.activate()
             return self.spark.sql(self.views[name.lower()])
         raise EngineError("TABLE_NOT_FOUND", name)
 
     def drop_table(self, name: str, *, if_exists: bool = False) -> None:
         """Forget a table."""
+        self.activate()
         if self.tables.pop(name.lower(), None) is None and not if_exists:
             raise EngineError("TABLE_NOT_FOUND", name)
         self.spark.catalog.dropTempView(name)
 
     def create_view(self, name: str, query: str) -> None:
         """A named query that sees the tables' current rows."""
+        self.activate()
         self.views[name.lower()] = query
         self._refresh()
 
@@ -86,21 +115,29 @@ class Engine:
 
     # --- changes -------------------------------------------------------------------------
 
-    def change(self, name: str, event: str, make: Callable[[DataFrame], DataFrame]) -> int:
-        """Swap a table's rows after its constraints hold; returns how many rows the table gained or lost."""
+    def change(self, name: str, event: str, make: Callable[[DataFrame], DataFrame], added: DataFrame | None = None) -> int:
+        """Swap a table's rows after its constraints hold; returns how many rows the table gained or lost.
+
+        With ``added``, the change only adds these rows, and only they are checked.
+        """
         t = self.tables.get(name.lower())
         if t is None:
             raise EngineError("TABLE_NOT_FOUND", name)
+        self.activate()
         self._fire(t, "BEFORE", event)
         rows = make(t.rows)
-        dml.check(rows, t.rules, self.table)
+        if added is not None:
+            dml.check(added, t.rules, self.table, t.rows)
+        elif event != "DELETE":
+            dml.check(rows, t.rules, self.table)
         if event == "DELETE":
             for other in self.tables.values():
                 for cols, parent, names in other.rules.foreign:
                     if parent.lower() == name.lower():
                         dml.check(other.rows, Constraints(foreign=((cols, parent, names),)), lambda _: rows)
-        t.rows = rows
-        rows.createOrReplaceTempView(name)
+        t.changes += 1
+        t.rows = cut(rows, name.lower()) if t.changes % CUT_EVERY == 0 else rows
+        t.rows.createOrReplaceTempView(name)
         self._refresh()
         self._fire(t, "AFTER", event)
         return self.row_count
@@ -110,8 +147,8 @@ class Engine:
             if (at, what) == (when, event):
                 self.execute(body)
 
-    def insert(self, name: str, rows: DataFrame) -> DataFrame:
-        """Append rows after defaults and identities; returns them."""
+    def complete(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows in a table's columns and types, with defaults and identities."""
         t = self.tables[name.lower()]
         for c in t.rows.columns:
             if c not in rows.columns:
@@ -122,7 +159,12 @@ class Engine:
             rows = dml.with_identity(rows, t.rules.identity, t.next_id)
             self.identity = rows.agg(F.max(t.rules.identity)).first()[0] or self.identity
             t.next_id = max(t.next_id, self.identity + 1)
-        self.change(name, "INSERT", lambda old: old.unionByName(rows))
+        return rows
+
+    def insert(self, name: str, rows: DataFrame) -> DataFrame:
+        """Append rows after defaults and identities; returns them."""
+        rows = self.complete(name, rows)
+        self.change(name, "INSERT", lambda old: old.unionByName(rows), rows)
         return rows
 
     def insert_batch(self, name: str, columns: list[str], values: Iterable[tuple]) -> int:
@@ -173,6 +215,13 @@ class Engine:
                 return
         raise EngineError("NO_SAVEPOINT", name)
 
+    def apply_retention(self, name: str, ts: str, now: str = "current_timestamp()") -> None:
+        """Delete rows older than the table's ``retention`` property allows."""
+        t = self.tables[name.lower()]
+        if keep := t.properties.get("retention"):
+            kept = timeseries.retain(t.rows, keep, F.expr(now), ts).unionByName(t.rows.where(F.col(ts).isNull()))
+            self.change(name, "DELETE", lambda _: kept)
+
     # --- sequences, procedures -----------------------------------------------------------
 
     def nextval(self, name: str) -> int:
@@ -189,10 +238,18 @@ class Engine:
             raise EngineError("SEQUENCE_NOT_STARTED", name)
         return last
 
-    def call(self, name: str) -> DataFrame | None:
-        """Run a procedure's statements; returns the last result."""
+    def call(self, name: str, args: list[object] | None = None) -> DataFrame | None:
+        """Run a procedure's statements with its parameters as variables; returns the last result."""
+        if name.lower() not in self.procedures:
+            raise EngineError("PROCEDURE_NOT_FOUND", name)
+        params, body = self.procedures[name.lower()]
+        if len(args or []) > len(params):
+            raise EngineError("TOO_MANY_ARGUMENTS", name)
+        values = dict(zip(params, args or [], strict=False))
         out = None
-        for text in self.procedures[name.lower()]:
+        for text in body:
+            for p, v in values.items():
+                text = dialects.substitute(text, p, v)
             out = self.execute(text)
         return out
 
@@ -200,7 +257,8 @@ class Engine:
 
     def execute(self, text: str, args: list | None = None) -> DataFrame | None:
         """Run one statement of the session's dialect. Queries and RETURNING give a DataFrame, changes give None."""
-        return statements.run(self, special.rewrite(dialects.rewrite(text, self.dialect, self)), args)
+        self.activate()
+        return statements.run(self, special.rewrite(dialects.rewrite(text, self.dialect, self), self.indexes), args)
 
     def script(self, text: str) -> DataFrame | None:
         """Run statements set apart by semicolons; returns the last result."""

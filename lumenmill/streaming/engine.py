@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
-import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from lumenmill.operators.dml import EngineError
 from lumenmill.plans.dialects import _Stream, join
+from lumenmill.sources.shared import shared_dir
 
 from . import windows
 
@@ -90,8 +92,7 @@ class StreamEngine:
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        self.root = root or (f"{base}/streams" if base else "file://" + tempfile.mkdtemp(prefix="streams-"))
+        self.root = root or f"{shared_dir(spark).rstrip('/')}/streams-{uuid.uuid4().hex}"
         self.streams: dict[str, Stream] = {}
         self.queries: dict[str, list] = {}
 
@@ -125,12 +126,12 @@ class StreamEngine:
     def batch(self, name: str) -> DataFrame:
         """All events so far."""
         s = self._stream(name)
-        return self.spark.read.schema(s.schema).parquet(s.path)
+        return self.spark.read.schema(s.schema).option("recursiveFileLookup", "true").parquet(s.path)
 
     def stream(self, name: str) -> DataFrame:
         """The stream as a streaming DataFrame."""
         s = self._stream(name)
-        return self.spark.readStream.schema(s.schema).parquet(s.path)
+        return self.spark.readStream.schema(s.schema).option("recursiveFileLookup", "true").parquet(s.path)
 
     def start(self, text: str, sink: str, *, lateness: str = "0 seconds", keep_running: bool = False):
         """Run a query into a memory table: EMIT FINAL appends closed windows, EMIT CHANGES updates open ones too."""
@@ -145,11 +146,15 @@ class StreamEngine:
         return query
 
     def insert_into(self, target: str, text: str, checkpoint: str) -> None:
-        """INSERT INTO target SELECT ...: a continuous query whose output is another stream's input."""
+        """INSERT INTO target SELECT ...: a continuous query whose output is another stream's input.
+
+        A batch is written below its own number, in place of what an attempt before may have left.
+        """
         q, s = parse(text), self._stream(target)
         out = plan(self.stream(q.source), q, self._stream(q.source).ts).to(s.schema)
+        own = hashlib.md5(checkpoint.encode()).hexdigest()
         sink = out.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
-        sink.trigger(availableNow=True).foreachBatch(lambda rows, _: rows.write.mode("append").parquet(s.path)).start().awaitTermination()
+        sink.trigger(availableNow=True).foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{s.path}/from={own}/batch={n}")).start().awaitTermination()
 
     def execute(self, text: str) -> DataFrame | None:
         """CREATE STREAM, DROP STREAM, or an ad-hoc query over what has come in, open windows included."""

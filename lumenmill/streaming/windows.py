@@ -39,7 +39,7 @@ def hopping(size_ms: int, advance_ms: int, ts: str = "ts") -> Column:
 
 def session(gap_ms: int, ts: str = "ts", *, touch: bool = False) -> Column:
     """Rows less than the gap apart; at exactly the gap a new session starts, unless ``touch``."""
-    return F.session_window(ts, _text(gap_ms if touch else gap_ms - 1))
+    return F.session_window(ts, f"{gap_ms * 1000 - (0 if touch else 1)} microseconds")
 
 
 def windowed(df: DataFrame, window: Column, keys: list[str], aggregates: list[Column], *, lateness: str | None = None, ts: str = "ts") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenmill.functions import core
 from lumenmill.operators import columnar, fulltext, olap, relational, spatial, timeseries
+from lumenmill.operators.dml import EngineError
 from lumenmill.sources.tables import read_any, write_any
 
 
@@ -102,3 +103,20 @@ def test_formats(spark, tmp_path, fmt):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, k string")
     write_any(df, fmt, f"{tmp_path}/{fmt}", partition_by=("k",))
     assert vals(read_any(spark, fmt, f"{tmp_path}/{fmt}", "id int, k string"), "id", "k") == [(1, "a"), (2, "b")]
+
+
+def test_gap_fill_of_a_null_key(spark):
+    rows = [(None, "2024-01-01 00:00", 5), (None, "2024-01-01 02:00", 7), ("a", "2024-01-01 01:00", 1)]
+    df = spark.createDataFrame(rows, "k string, t string, n int").selectExpr("k", "timestamp(t) AS bucket", "n")
+    got = timeseries.gap_fill(df, "1h", ["k"], ["n"]).orderBy("k", "bucket").collect()
+    assert [(r["k"], r["n"]) for r in got] == [(None, 5), (None, 5), (None, 7), ("a", 1)]
+
+
+def test_depth_limits_are_errors(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(12)], "id int, up int")
+    assert olap.connect_by(chain, "id", "up", F.col("up").isNull()).count() == 12
+    with pytest.raises(EngineError, match="RECURSION_LIMIT"):
+        olap.connect_by(chain, "id", "up", F.col("up").isNull(), max_depth=5)
+    grow = lambda df: df.select((F.col("id") + 1).alias("id"))
+    with pytest.raises(EngineError, match="RECURSION_LIMIT"):
+        olap.recursive_fixpoint(spark.range(1), grow, max_rounds=3)

@@ -196,3 +196,42 @@ def test_plugins(spark):
     e = Engine(spark, "mysql")
     assert rows(e.execute("HELLO world")) == [("world",)]
     assert rows(e.query("SELECT TWICE(4 + 1) AS x")) == [(10,)]
+
+
+def test_plans_are_cut(spark):
+    """Changes don't pile up in a table's plan."""
+    e = Engine(spark)
+    e.execute("CREATE TABLE grow_t (id INT PRIMARY KEY)")
+    sizes = []
+    for i in range(40):
+        e.execute(f"INSERT INTO grow_t VALUES ({i})")
+        sizes.append(len(e.table("grow_t")._jdf.queryExecution().logical().toString()))
+    assert max(sizes[16:]) <= 1.5 * max(sizes[:16]) and e.table("grow_t").count() == 40
+    with pytest.raises(EngineError, match="UNIQUE_VIOLATION"):
+        e.execute("INSERT INTO grow_t VALUES (3)")
+
+
+def test_rollback_over_a_cut(spark):
+    e = Engine(spark)
+    e.script("CREATE TABLE back_t (id INT); INSERT INTO back_t VALUES (1); BEGIN")
+    for i in range(20):
+        e.execute(f"INSERT INTO back_t VALUES ({i})")
+    e.execute("ROLLBACK")
+    assert rows(e.table("back_t")) == [(1,)]
+
+
+def test_names_belong_to_an_engine(spark):
+    a, b = Engine(spark), Engine(spark)
+    a.script("CREATE TABLE zz (id INT); INSERT INTO zz VALUES (1); CREATE VIEW vv AS SELECT id FROM zz")
+    b.script("CREATE TABLE zz (id INT); INSERT INTO zz VALUES (2)")
+    assert [rows(e.query("SELECT * FROM zz")) for e in (a, b, a)] == [[(1,)], [(2,)], [(1,)]]
+    assert rows(a.query("SELECT * FROM vv")) == rows(a.table("vv")) == [(1,)]
+    assert [r["tableName"] for r in b.query("SHOW TABLES").collect()] == ["zz"]
+
+
+def test_merge_with_identity_and_defaults(spark):
+    e = Engine(spark, "postgresql")
+    e.script("CREATE TABLE mid_t (id SERIAL PRIMARY KEY, k INT, v INT DEFAULT 7); INSERT INTO mid_t (k, v) VALUES (1, 1), (2, 2)")
+    e.execute("MERGE INTO mid_t t USING (VALUES (2, 20), (3, 30), (4, 40)) AS s (k, v) ON t.k = s.k WHEN MATCHED AND s.v = 20 THEN UPDATE SET v = s.v + t.v WHEN NOT MATCHED AND s.k = 3 THEN INSERT (k) VALUES (s.k) WHEN NOT MATCHED THEN INSERT (k, v) VALUES (k, v)")
+    assert rows(e.query("SELECT k, v FROM mid_t")) == [(1, 1), (2, 22), (3, 7), (4, 40)]
+    assert e.query("SELECT count(DISTINCT id) AS n, max(id) AS m FROM mid_t").first()[:] == (4, 4)

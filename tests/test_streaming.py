@@ -81,3 +81,10 @@ def test_stream_into_stream_and_drop(engine, tmp_path):
         engine.execute("SELECT * FROM hot")
     with pytest.raises(EngineError):
         engine.execute("CREATE STREAM sensors (a INT)")
+
+
+def test_session_gap_in_microseconds(spark):
+    near = [(1, at(0)), (1, at(0) + dt.timedelta(microseconds=4_999_500)), (1, at(60)), (1, at(65))]
+    df = spark.createDataFrame(near, "k int, ts timestamp")
+    got = windows.windowed(df, windows.session(5000), ["k"], [F.count("*").alias("n")]).orderBy("window_start").collect()
+    assert [r["n"] for r in got] == [2, 1, 1]
