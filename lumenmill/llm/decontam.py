@@ -6,32 +6,42 @@ suffix table that lists the patterns ending in a block; and the patterns, whose
 directly. A batch of texts is searched in many equal segments at once, each with its own position, so every step of the
 search is one vector operation.
 
-Patterns are built on the driver from the item table as it streams in, in blocks of at most ``block_windows`` windows;
-each block is one broadcast of bounded size, and every text is searched for every block, one block in memory at a time.
+Patterns are built on the driver from the item table as it streams in, in blocks of at most ``block_windows`` windows; a
+longer item is spread over blocks. Each block is one broadcast of bounded size, ``PASS_BLOCKS`` of them make a pass over
+the texts, and the next pass finds what those before have hit in a scratch table. A worker holds one block at a time: with
+several in a pass it takes ``HELD_BYTES`` of texts, searches them for one block after the other and lets each go.
 
-Edge cases: null text has no words and no hits; an item without words has no window; equal windows of several items
+Edge cases: very long texts are searched whole; null text has no words and no hits; an item without words has no window; equal windows of several items
 count for each of them; items with equal ids are one item; null item ids are left out of ``items``; repeated document
-rows are searched one by one; empty tables give no rows or no hits; other columns are ignored.
+rows are searched one by one; empty tables give no rows or no hits; other columns are ignored, and kept with
+``only_clean``.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table
+from .common import LOWER, UPPER, bounded_batches, discard, fresh, scratch, table
 from .textnp import ALNUM, Texts, mix, pieces, span_union
 
 WINDOW = 8
 #: Windows in one block of patterns.
 BLOCK_WINDOWS = 500_000
+#: Blocks searched for in one pass over the texts.
+PASS_BLOCKS = 8
+#: Bytes of text that a worker holds while it goes through several blocks.
+HELD_BYTES = 64 << 20
 _SHIFT_BITS = 20
 #: Words searched by each of the parallel positions.
 SEGMENT = 256
@@ -121,86 +131,157 @@ def pattern_block(rows: list[tuple[str | None, str]], window: int) -> list[Patte
     ]
 
 
+def _spread(text: str, window: int, most: int) -> Iterator[str]:
+    """An item's text, in overlapping parts of at most ``most`` windows if it has more."""
+    if len(text) // 2 < most:
+        yield text
+        return
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))
+    if len(words) <= window:
+        yield text
+    for i in range(0, len(words) - window + 1 if len(words) > window else 0, most):
+        yield " ".join(words[i : i + most + window - 1])
+
+
 def pattern_blocks(items: DataFrame, window: int, block_windows: int) -> Iterator[list[PatternSet]]:
     """Blocks of pattern sets, as the item table streams in."""
     rows, held = [], 0
     for item, text in items.selectExpr("cast(item_id as string)", "text").toLocalIterator():
-        if text:
-            rows.append((item, text))
-            held += 1 + text.count(" ")
-        if held >= block_windows:
-            yield pattern_block(rows, window)
-            rows, held = [], 0
+        for part in _spread(text or "", window, block_windows):
+            if not part:
+                continue
+            rows.append((item, part))
+            held += 1 + part.count(" ")
+            if held >= block_windows:
+                yield pattern_block(rows, window)
+                rows, held = [], 0
     if rows:
         yield pattern_block(rows, window)
 
 
-def scan(texts: Texts, blocks: Iterator[list[PatternSet]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-    """(words, hit words, items) of each text."""
-    texts.lower()
-    texts.words(ALNUM)
-    count = np.diff(texts.bounds)
-    # a word of hash 0 after each text keeps windows from running on into the next
-    gaps = np.repeat(np.arange(texts.n), count)
-    words = np.zeros(len(texts.starts) + texts.n, np.uint64)
-    place = np.arange(len(texts.starts)) + gaps
-    words[place] = texts.hash_words()
-    raw = texts.data
-
-    def same(at: int, size: int, pattern: bytes) -> bool:
-        first = at - int(np.searchsorted(text_ends, at, "right"))
-        s, e = texts.starts[first : first + size], texts.ends[first : first + size]
-        return b" ".join(raw[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True)) == pattern
-
-    text_ends = texts.bounds[1:] + np.arange(texts.n)
-    items: list[set[str]] = [set() for _ in range(texts.n)]
-    starts, ends = [], []
-    for block in blocks:
-        for patterns in block:
-            at, which = patterns.search(words, same)
-            starts.append(at)
-            ends.append(at + patterns.length)
-            of = np.searchsorted(text_ends, at, "right")
-            pairs = np.unique(of * len(patterns.texts) + which)
-            for k in pairs.tolist():
-                items[k // len(patterns.texts)].update(patterns.items[k % len(patterns.texts)])
-    hit = span_union(np.concatenate(starts), np.concatenate(ends), len(words)) if starts else np.zeros(len(words), bool)
-    total = np.append(0, np.cumsum(hit))
-    first = texts.bounds[:-1] + np.arange(texts.n)
-    return count, total[text_ends] - total[first], items
+class Search:
+    """A piece of texts and what has been found in it: hit words and items of each text."""
+
+    def __init__(self, texts: Texts):
+        texts.lower()
+        texts.words(ALNUM)
+        self.texts, self.count = texts, np.diff(texts.bounds)
+        # a word of hash 0 after each text keeps windows from running on into the next
+        gaps = np.repeat(np.arange(texts.n), self.count)
+        self.words = np.zeros(len(texts.starts) + texts.n, np.uint64)
+        self.words[np.arange(len(texts.starts)) + gaps] = texts.hash_words()
+        self.first, self.ends = texts.bounds[:-1] + np.arange(texts.n), texts.bounds[1:] + np.arange(texts.n)
+        self.items: list[set[str]] = [set() for _ in range(texts.n)]
+        self.hit = np.zeros(len(self.words), bool)
+
+    def same(self, at: int, size: int, pattern: bytes) -> bool:
+        """Whether the words from ``at`` on are the pattern's, compared as bytes."""
+        first = at - int(np.searchsorted(self.ends, at, "right"))
+        s, e = self.texts.starts[first : first + size], self.texts.ends[first : first + size]
+        return b" ".join(self.texts.data[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True)) == pattern
+
+    def block(self, sets: list[PatternSet]) -> None:
+        """Search for one block of patterns."""
+        for patterns in sets:
+            at, which = patterns.search(self.words, self.same)
+            self.hit |= span_union(at, at + patterns.length, len(self.words))
+            of = np.searchsorted(self.ends, at, "right")
+            for k in np.unique(of * len(patterns.texts) + which).tolist():
+                self.items[k // len(patterns.texts)].update(patterns.items[k % len(patterns.texts)])
+
+    def earlier(self, hits: list[list[int]], items: list[list[str]]) -> None:
+        """Take up what passes before have found."""
+        for k, (places, names) in enumerate(zip(hits, items, strict=True)):
+            self.hit[self.first[k] + np.array(places, np.int64)] = True
+            self.items[k].update(names)
+
+    def places(self) -> list[np.ndarray]:
+        """The hit words of each text."""
+        return [np.flatnonzero(self.hit[a:b]) for a, b in zip(self.first.tolist(), self.ends.tolist(), strict=True)]
+
+    def n_hit(self) -> np.ndarray:
+        """How many words of each text are hit."""
+        total = np.append(0, np.cumsum(self.hit))
+        return total[self.ends] - total[self.first]
+
+
+def _searched(batches: Iterator[pa.RecordBatch], sent: list[Broadcast], hits: str, names: str) -> Iterator[tuple[pa.RecordBatch, Search]]:
+    """The pieces of the batches with what the blocks sent, and passes before, find in them."""
+    held: list[tuple[pa.RecordBatch, Search]] = []
+
+    def through() -> Iterator[tuple[pa.RecordBatch, Search]]:
+        for block in sent:
+            for _, search in held:
+                search.block(block.value)
+            if len(sent) > 1 and getattr(block, "_path", None):
+                block.__dict__.pop("_value", None)  # read again from the worker's file when it is next wanted
+        yield from held
+        held.clear()
+
+    size = 0
+    for batch in batches:
+        for part, texts in pieces(batch, "text"):
+            search = Search(texts)
+            if hits in part.schema.names:
+                search.earlier(part.column(hits).to_pylist(), part.column(names).to_pylist())
+            held.append((part, search))
+            size += len(texts.data)
+            if len(sent) < 2 or size >= HELD_BYTES:
+                yield from through()
+                size = 0
+    yield from through()
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_items: int = 2, block_windows: int = BLOCK_WINDOWS, only_clean: bool = False) -> DataFrame:
     """Per document: n_words, n_hit, items (ids, sorted), contaminated; or, with ``only_clean``, the clean rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    held = [spark.sparkContext.broadcast(b) for b in pattern_blocks(items, window, block_windows)]
-
-    def loaded() -> Iterator[list[PatternSet]]:
-        for b in held:
-            yield b.value
-
-    if only_clean:
-        schema, carried = docs.schema, docs.columns
-    else:
-        carried = ["doc_id"]
-        schema = T.StructType([docs.schema["doc_id"]]).add("n_words", T.LongType()).add("n_hit", T.LongType())
+    hits, names = fresh(docs, "_hits", "_items")
+    carried = docs.columns if only_clean else ["doc_id"]
+    schema = T.StructType([docs.schema[c] for c in carried])
+    if not only_clean:
+        schema = schema.add("n_words", T.LongType()).add("n_hit", T.LongType())
         schema = schema.add("items", T.ArrayType(T.StringType())).add("contaminated", T.BooleanType())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in pieces(batch, "text"):
-                n_words, n_hit, found = scan(texts, loaded())
-                bad = pa.array([len(x) >= min_items for x in found])
+        docs = docs.select("doc_id", "text")
+    own_columns = docs.columns
+    between = T.StructType(list(docs.schema.fields)).add(hits, T.ArrayType(T.IntegerType())).add(names, T.ArrayType(T.StringType()))
+
+    def last(sent: list[Broadcast]) -> callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, search in _searched(batches, sent, hits, names):
+                bad = pa.array([len(x) >= min_items for x in search.items])
                 own = part.select(carried)
                 if only_clean:
                     yield own.filter(pc.invert(bad))
                     continue
-                listed = pa.array([sorted(x) for x in found], pa.list_(pa.string()))
-                arrays = [*own.columns, pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), listed, bad]
+                listed = pa.array([sorted(x) for x in search.items], pa.list_(pa.string()))
+                arrays = [*own.columns, pa.array(search.count.astype(np.int64)), pa.array(search.n_hit().astype(np.int64)), listed, bad]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+        return run
+
+    def more(sent: list[Broadcast]) -> callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, search in _searched(batches, sent, hits, names):
+                found = [pa.array(search.places(), pa.list_(pa.int32())), pa.array([sorted(x) for x in search.items], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.select(own_columns).columns, *found], names=[*own_columns, hits, names])
+
+        return run
+
+    rows, written = docs, None
+    passes = batched(pattern_blocks(items, window, block_windows), PASS_BLOCKS)
+    group = next(passes, ())
+    while True:
+        sent = [spark.sparkContext.broadcast(b) for b in group]
+        group = next(passes, None)
+        if group is None:
+            return rows.mapInArrow(last(sent), schema)
+        rows = scratch(rows.mapInArrow(more(sent), between), "hits")
+        for b in sent:
+            b.destroy()
+        if written is not None:
+            discard(written)
+        written = rows
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
