@@ -208,17 +208,56 @@ def spelled(model, text):
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_round_trip(version):
     rows = [(1, "http://a/b c", b"x"), (None, None, b""), (-5, "", "\n\r\nWARC/1.0\r\n\r\né".encode()), (2**62, "u", b"y" * 300_000)]
-    records = list(warc.read_arc(warc.write_arc(rows, version)))
-    assert [b.partition(b"\r\n\r\n")[2] for _, b in records] == [p for *_, p in rows]
+    arc = warc.write_arc(rows, version)
+    records = list(warc.read_arc(warc.inflate(arc, 1000)))
+    parts = [warc.parts_of(b) for _, b in records]
+    assert [p for _, p in parts] == [p for *_, p in rows]
     assert [h["URL"] for h, _ in records] == ["http://a/b%20c", "unknown:", "unknown:", "u"]
-    assert len(records[0][0]) == (5 if version == 1 else 10)
-    made = b"".join(warc.to_warc(h, b, n) + b"\r\n\r\n" for (h, b), (n, *_) in zip(records, rows, strict=True))
+    assert len(records[0][0]) == (6 if version == 1 else 11) and arc[int(records[1][0]["Position"]) :].startswith(b"unknown:")
+    assert [warc.record_number(h, x, "f") for (h, _), (x, _) in zip(records, parts, strict=True)] == [n for n, *_ in rows]
+    made = b"".join(warc.to_warc(h, n, *x, n) + b"\r\n\r\n" for (h, _), x, (n, *_) in zip(records, parts, rows, strict=True))
     packed = gzip.compress(made[:1000]) + gzip.compress(made[1000:])
     back = list(warc.read_warc(warc.inflate(packed, 777)))
     assert [warc.uuid_number(h["WARC-Record-ID"][10:-1]) for h, _ in back] == [n for n, *_ in rows]
     assert all(h["WARC-Type"] == "response" and h["WARC-Date"] == "2000-01-01T00:00:00Z" for h, _ in back)
     with pytest.raises(ValueError):
-        list(warc.read_arc(warc.write_arc(rows, version)[:-50]))
+        list(warc.read_arc([arc[:-50]]))
+    with pytest.raises(ValueError):
+        list(warc.inflate(packed[:-20]))
+
+
+def test_legacy_archives_from_a_path(spark, tmp_path):
+    """Files of other writers: plain, gzipped whole and record by record, joined end to end, not UTF-8, without HTTP."""
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+
+    def arc(version, records):
+        about = f"{version} 0 other\n{warc._FIELDS[version]}\n".encode()
+        extra = b"" if version == 1 else b" 200 - - 0 f.arc"
+        out = [b"filedesc://f.arc 0.0.0.0 19970102030405 text/plain%s %d\n%s\n" % (extra, len(about), about)]
+        return out + [b"%s 1.2.3.4 19980506070809 text/html%s %d\n%s\n" % (url, extra, len(body), body) for url, body in records]
+
+    one = arc(1, [(b"http://a/ b", http + b"same"), (b"http://c", http + b"\xff\xfe bytes")])
+    two = arc(2, [(b"http://d", http + b"same"), (b"dns:e", b"no head")])
+    (tmp_path / "one.arc").write_bytes(b"".join(one))
+    (tmp_path / "two.arc.gz").write_bytes(gzip.compress(b"".join(two)))
+    (tmp_path / "both.arc.gz").write_bytes(b"".join(map(gzip.compress, one + two)))
+    path = common.scratch_path(spark, "legacy")
+    warc.convert_archives(spark, str(tmp_path), path)
+    got = warc.read_archives(spark, path).collect()
+    assert Counter(r["record_type"] for r in got) == {"response": 2, "resource": 1, "revisit": 5}
+    digest = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    assert Counter(r["payload_digest"] for r in got) == {digest(b"same"): 4, digest(b"\xff\xfe bytes"): 2, digest(b"no head"): 2}
+    assert len({r["page_id"] for r in got}) == 8
+    named = {r["payload_digest"]: r["page_id"] for r in got if r["record_type"] != "revisit"}
+    assert all(r["refers_to"] == named[r["payload_digest"]] for r in got if r["record_type"] == "revisit")
+
+
+def test_archive_files_are_bounded_in_bytes(spark):
+    df = spark.range(30).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(string(id), 256), 40000) AS html").coalesce(1)
+    path = common.scratch_path(spark, "bytes")
+    warc.write_archives(df, path)
+    sizes = [sum(len(c) for c in warc.inflate(bytes(r["content"]))) for r in spark.read.format("binaryFile").load(path).collect()]
+    assert sum(sizes) > 30 * 64 * 40_000 and max(sizes) <= warc.FILE_ROWS * ((8 << 20) + 64 * 40_000 + 10_000)
 
 
 def test_warc(spark):

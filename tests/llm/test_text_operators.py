@@ -253,8 +253,10 @@ def windows_of(text):
     return w, {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
 
 
-@pytest.mark.parametrize("block", [3, 10**6])
-def test_decontamination(spark, docs, empty, block):
+@pytest.mark.parametrize(("block", "per_pass"), [(3, 2), (5, 8), (10**6, 8)])
+def test_decontamination(spark, docs, empty, block, per_pass, monkeypatch):
+    """With small blocks the long item is spread over several, and texts are searched in several passes."""
+    monkeypatch.setattr(decontam, "PASS_BLOCKS", per_pass)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     more = spark.createDataFrame(
         [(50, "zz alpha BETA gamma-delta epsilon zeta eta theta iota kappa"), (51, "very Short One short one"), (52, "alpha beta gamma delta epsilon zeta eta"), (53, "short")],
