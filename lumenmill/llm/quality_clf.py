@@ -1,8 +1,9 @@
 """Quality classifier by compression.
 
-A zstandard dictionary is trained on good and one on bad labelled texts. A text is compressed with each; the difference
-of the two sizes, divided by the size of the text, says which it resembles. A logistic curve fitted on labelled texts
-that went into neither dictionary turns the difference into a score.
+zstandard dictionaries of several sizes are trained on good and on bad labelled texts. A text is compressed with each; the
+difference of the two sizes of a pair, normalised by the size without a dictionary, by that size's root, by the length
+and by its own logarithm, says which class the text resembles. A logistic curve fitted on labelled texts that went into
+none of the dictionaries turns these differences, and nothing else, into a score.
 
 Training takes at most ``MAX_SAMPLE`` labelled rows of each class, those of the smallest hash, and fewer where their texts
 are longer than ``SAMPLE_CHARS`` on average; they are few enough for the driver. Texts are trained on and scored whole.
@@ -30,40 +31,49 @@ MAX_SAMPLE = 3000
 SAMPLE_CHARS = 20_000
 #: Bytes of one sample of a dictionary; a longer text gives several.
 PIECE = 8000
-#: With fewer rows in a class the two halves of the sample take turns.
+#: With fewer rows in a class the two halves of the sample take turns in other classifiers too.
 FEW = 16
-DICT_BYTES, LEVEL = 112 << 10, 3
+#: Small dictionaries hold what is typical of a class, large ones its passages.
+DICT_BYTES, LEVEL = (8 << 10, 48 << 10, 256 << 10), 9
 
 
 class Model:
-    """Two dictionaries and a logistic curve; picklable."""
+    """Pairs of dictionaries (good, bad) and a logistic curve; picklable."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: tuple[float, ...], prior: float):
-        self.good, self.bad, self.weights, self.prior = good, bad, weights, prior
+    def __init__(self, pairs: list[tuple[bytes, bytes]], weights: tuple[float, ...], prior: float):
+        self.pairs, self.weights, self.prior = pairs, weights, prior
         self._tools: list[zstandard.ZstdCompressor] | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_tools": None}
 
-    def gap(self, raw: bytes) -> tuple[float, ...]:
-        """The normalised size difference, over several norms, and what calibrating it needs: ratio and length."""
+    def gap(self, raw: bytes) -> list[float]:
+        """The normalised size differences of the pairs."""
         if self._tools is None:
-            self._tools = [
-                zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
-                for d in (self.good, self.bad)
-            ]
-        good, bad = (len(t.compress(raw)) for t in self._tools)
-        n, gap = len(raw), bad - good
-        return gap / n, gap / (bad + good), gap / np.sqrt(n), good / n, 1 / np.sqrt(n), np.log(n)
+            self._tools = [_compressor(d) for d in (b"", *[d for pair in self.pairs for d in pair])]
+        plain, *sizes = (len(t.compress(raw)) for t in self._tools)
+        out = []
+        for good, bad in zip(sizes[::2], sizes[1::2], strict=True):
+            gap = bad - good
+            out += [gap / plain, gap / np.sqrt(plain), gap / len(raw), np.sign(gap) * np.log1p(abs(gap))]
+        return out
 
     def score(self, raw: bytes) -> float:
         """Likelihood that the text is good."""
-        if not raw or not self.good:
+        if not raw or not self.pairs:
             return self.prior
         odds = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.gap(raw), strict=True))
         return float(1 / (1 + np.exp(-np.clip(odds, -40, 40))))
 
 
+def _compressor(data: bytes) -> zstandard.ZstdCompressor:
+    if not data:
+        return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False)
+    held = zstandard.ZstdCompressionDict(data)
+    held.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Newton steps for a ridge logistic regression; columns are scaled inside."""
     scale = np.maximum(np.abs(x).max(0), 1e-9)
@@ -82,7 +92,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int) -> list[tuple[str, int]]:
     """Up to ``per_class`` training rows (text, label) of each class, the same on every run.
 
-    Texts are whole; rows end where those before have ``per_class * chars`` characters.
+    Rows are bounded after labels have met documents, so that repeated ids add none. Texts are whole; rows end where
+    those before have ``per_class * chars`` characters.
     """
     own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(label), "doc_id").alias("h"))
@@ -90,15 +101,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for y in (0, 1):
         part = own.where(F.col("y") == y).orderBy("h", "_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    rows = rows.where(F.length("text") > 0).select("text", "y", "h")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where(F.length("text") > 0)
+    rows = rows.select("text", "y", "h", F.length("text").alias("n"), F.xxhash64("text").alias("t"))
     last, room = {}, {0: per_class * chars, 1: per_class * chars}
-    for y, h, n in sorted(map(tuple, rows.select("y", "h", F.length("text")).collect())):
-        if room[y] > 0:
-            last[y] = h
-            room[y] -= n
-    rows = rows.where(F.coalesce(*[F.when((F.col("y") == y) & (F.col("h") <= h), True) for y, h in last.items()], F.lit(False)))
-    return [(r.text, r.y) for r in sorted(rows.collect(), key=lambda r: (r.h, r.y, r.text))]
+    for y in (0, 1):
+        order = rows.where(F.col("y") == y).select("h", "t", "n").orderBy("h", "t").limit(per_class)
+        for h, t, n in map(tuple, order.collect()):
+            if room[y] > 0:
+                last[y] = h, t
+                room[y] -= n
+    inside = [F.when((F.col("y") == y) & ((F.col("h") < h) | ((F.col("h") == h) & (F.col("t") <= t))), True) for y, (h, t) in last.items()]
+    found = rows.where(F.coalesce(*inside, F.lit(False))).select("text", "y", "h", "t")
+    kept = {y: [] for y in (0, 1)}
+    for r in sorted(found.limit(2 * per_class).collect(), key=lambda r: (r.h, r.y, r.t)):
+        kept[r.y].append((r.h, r.y, r.text))
+    return [(text, y) for _, y, text in sorted(x for own in kept.values() for x in own[:per_class])]
 
 
 def samples_of(texts: list[bytes]) -> list[bytes]:
@@ -106,34 +123,35 @@ def samples_of(texts: list[bytes]) -> list[bytes]:
     return [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary of the texts."""
+def dictionaries(texts: list[bytes]) -> list[bytes]:
+    """Dictionaries of the texts, one of each size."""
+    samples = samples_of(texts)
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples_of(texts)).as_bytes()
-    except zstandard.ZstdError:  # too little to choose from: the texts themselves are the dictionary
-        return b"".join(dict.fromkeys(texts))[:DICT_BYTES]
+        return [zstandard.train_dictionary(size, samples).as_bytes() for size in DICT_BYTES]
+    except zstandard.ZstdError:  # too little to choose from: the texts themselves, the end of them, are the dictionary
+        return [b"".join(dict.fromkeys(texts))[-size:] for size in DICT_BYTES]
+
+
+def pairs_of(good: list[bytes], bad: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Dictionaries of both classes by size."""
+    return list(zip(dictionaries(good), dictionaries(bad), strict=True))
 
 
 def train(sample: list[tuple[str, int]]) -> Model:
-    """Half of the sample makes the dictionaries, the other half the curve.
+    """The two halves of the sample take turns: each makes dictionaries for the other's part of the curve.
 
-    With few rows in a class each half makes dictionaries for the other's part of the curve, and both make the last
-    ones; a lone row stands on both sides.
+    Both make the last dictionaries; a lone row stands on both sides.
     """
     sets = {y: [t.encode() for t, k in sample if k == y] for y in (0, 1)}
     prior = len(sets[1]) / len(sample) if sample else 0.5
-    least = min(map(len, sets.values()))
-    if not least:
-        return Model(b"", b"", (), prior)
-    rows, model = [], None
-    for k in (0, 1) if least < FEW else (0,):
-        model = Model(*[dictionary(sets[y][k::2] or sets[y]) for y in (1, 0)], (), prior)
+    if not min(map(len, sets.values())):
+        return Model([], (), prior)
+    rows = []
+    for k in (0, 1):
+        model = Model(pairs_of(*[sets[y][k::2] or sets[y] for y in (1, 0)]), (), prior)
         rows += [(*model.gap(t), y) for y in (0, 1) for t in (sets[y][1 - k :: 2] or (sets[y] if k == 0 else []))]
-    if least < FEW:
-        model = Model(*[dictionary(sets[y]) for y in (1, 0)], (), prior)
     x = np.array([r[:-1] for r in rows])
-    model.weights = tuple(fit_logistic(x, np.array([r[-1] for r in rows], float)))
-    return model
+    return Model(pairs_of(sets[1], sets[0]), tuple(fit_logistic(x, np.array([r[-1] for r in rows], float))), prior)
 
 
 def score_texts(docs: DataFrame, model: object, threshold: float) -> DataFrame:
