@@ -40,7 +40,7 @@ GRAM = 5
 #: Weaker evidence is left out.
 STRONG = 1.0
 #: Clean texts that each gram is taken to have been seen in besides those counted.
-SMOOTH = 0.3
+SMOOTH = 0.5
 #: Tokens whose evidence a worker remembers.
 CACHE = 200_000
 #: Entries that a counting worker holds before it hands them on.
