@@ -1,4 +1,10 @@
-"""The corpus pipeline: raw documents to a training mix, in five stages that are each written and read again."""
+"""The corpus pipeline: raw documents to a training mix, in five stages that are each written and read again.
+
+Edge cases: null and empty texts are rejected by the first stage; very long texts pass whole; a null id is never a copy of
+another document; rows equal in id and text are one document from near-dedup on; rows of equal ids with other texts are
+different documents; empty tables give an empty mix; other columns are kept, but for ``copy``, ``finish`` and ``take``, which
+the mix adds.
+"""
 
 from __future__ import annotations
 
