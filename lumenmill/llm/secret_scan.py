@@ -7,8 +7,9 @@ log-likelihood ratio is at least ``MIN_RATIO`` in all and ``MIN_MEAN`` for each
 ``MIN_RATIO`` or to nothing, so that several in one run are all found. Spans found so that overlap a base span are left
 to it.
 
-The models are trained from labelled samples (token, random); :func:`labelled_samples` makes a default set by rule.
-The counts that reach the driver are bounded by the square of the alphabet.
+The models are trained from labelled samples (token, random); :func:`labelled_samples` makes a default set by rule, and
+the ordinary side takes up the tokens of the whole corpus (:func:`corpus_tokens`), each side with half the weight. The
+counts that reach the driver are bounded by the square of the alphabet.
 
 Edge cases: null or empty text has no spans; rows are scanned one by one, so ties and repeated rows give equal spans; a
 null id is kept as it is; an empty table gives no rows; other columns are ignored.
@@ -74,15 +75,45 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     )
 
 
-def ratio_table(samples: DataFrame, smooth: float = 0.5) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary), row by row of the alphabet."""
+def _steps_of(tokens: DataFrame) -> DataFrame:
+    """(..., step, count): pairs of neighbouring characters of the tokens."""
     chars = F.split("token", "")
     steps = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda a, b: F.concat(a, b))
-    counts = samples.where(F.length("token") > 1).select("random", F.explode(steps).alias("step")).groupBy("random", "step").count()
+    others = [c for c in tokens.columns if c != "token"]
+    found = tokens.where(F.length("token") > 1).select(*others, F.explode(steps).alias("step"))
+    return found.where(F.col("step").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).groupBy(*others, "step").count()
+
+
+def corpus_tokens(docs: DataFrame) -> DataFrame:
+    """(token): every run of token characters that two or more different texts of the corpus have, once.
+
+    Secrets are as good as always in one text, or in copies of it, and each counts once.
+    """
+    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{2,}"), F.lit(0)))
+    x = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), runs.alias("runs"))
+    x = x.select("h", F.explode("runs").alias("token"))
+    return x.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("token")
+
+
+def ratio_table(samples: DataFrame, corpus: DataFrame | None = None, smooth: float = 0.5) -> list[float]:
+    """log P(b | a, random) - log P(b | a, ordinary), row by row of the alphabet.
+
+    With a corpus (token), its steps are as much of the ordinary side as those of the samples.
+    """
     n = len(ALPHABET)
     seen = {True: [[smooth] * n for _ in range(n)], False: [[smooth] * n for _ in range(n)]}
-    for r in counts.where(F.col("step").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).collect():
-        seen[r["random"]][ALPHABET.index(r["step"][0])][ALPHABET.index(r["step"][1])] += r["count"]
+
+    def add(rows: list, random: bool, weight: float) -> None:
+        for step, count in rows:
+            seen[random][ALPHABET.index(step[0])][ALPHABET.index(step[1])] += count * weight
+
+    found = {k: [(r["step"], r["count"]) for r in _steps_of(samples).collect() if r["random"] == k] for k in (True, False)}
+    for k, rows in found.items():
+        add(rows, k, 1.0)
+    if corpus is not None:
+        own = [(r["step"], r["count"]) for r in _steps_of(corpus).collect()]
+        total = sum(c for _, c in own)
+        add(own, False, sum(c for _, c in found[False]) / total if total else 0.0)
     out = []
     for yes, no in zip(seen[True], seen[False], strict=True):
         a, b = sum(yes), sum(no)
@@ -243,7 +274,8 @@ def listed(spans: str) -> Column:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
-    found = find_secrets(table(spark, sf_dir, "documents"), ratio_table(labelled_samples(spark)))
+    docs = table(spark, sf_dir, "documents")
+    found = find_secrets(docs, ratio_table(labelled_samples(spark), corpus_tokens(docs)))
 
     def count(k: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
