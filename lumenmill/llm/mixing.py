@@ -130,16 +130,16 @@ def queued(scheduled: DataFrame) -> DataFrame:
 def emit(docs: DataFrame, seed: str = "") -> DataFrame:
     """The mix in its order: a row for each copy taken, with ``copy``, ``finish`` and ``take`` (words of it to use)."""
     docs = docs.drop("copy", "finish", "take")
-    own, place, nth, key, other = fresh(docs, "_id", "_row", "_nth", "_key", "_other")
+    own, place, nth, key, other, whole, same = fresh(docs, "_id", "_row", "_nth", "_key", "_other", "_whole", "_same")
     taken = queued(schedule(docs, seed, row_hash(docs)))
     taken = taken.select(F.col("doc_id").alias(own), F.col("key").alias(key), F.col("other").alias(other), F.col("nth").alias(nth), "copy", "finish", "take")
     # rows equal in all columns stand for each other: one of them is joined to all copies
-    texts = docs.withColumn(place, shuffle_key(seed)).withColumn(key + "_", row_hash(docs))
-    first = W.partitionBy(place, key + "_").orderBy(F.lit(0))
-    texts = texts.withColumn(nth + "_", F.row_number().over(first)).where(F.col(nth + "_") == 1)
-    out = texts.join(taken, (F.col(place) == F.col(key)) & (F.col(key + "_") == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(own)))
+    texts = docs.withColumn(place, shuffle_key(seed)).withColumn(whole, row_hash(docs))
+    first = W.partitionBy(place, whole).orderBy(F.lit(0))
+    texts = texts.withColumn(same, F.row_number().over(first)).where(F.col(same) == 1)
+    out = texts.join(taken, (F.col(place) == F.col(key)) & (F.col(whole) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(own)))
     out = out.orderBy("finish", F.col("source").asc_nulls_last(), place, nth, "copy")
-    return out.drop(own, place, nth, key, other, key + "_", nth + "_")
+    return out.drop(own, place, nth, key, other, whole, same)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
