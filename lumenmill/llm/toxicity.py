@@ -42,7 +42,7 @@ STRONG = 1.0
 #: Clean texts that each gram is taken to have been seen in besides those counted.
 SMOOTH = 0.5
 #: Tokens whose evidence a worker remembers.
-CACHE = 200_000
+CACHE = 500_000
 #: Entries that a counting worker holds before it hands them on.
 HELD = 300_000
 START, BACK_OFF = "^^^^^", 4.0
@@ -246,10 +246,21 @@ class Model:
     def __init__(self, chars: CharModel, evidence: dict[str, float], weights: tuple[float, ...], prior: float):
         self.chars, self.evidence, self.weights, self.prior = chars, evidence, weights, prior
         self._cache: dict[str, float] = {}
+        self._note()
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_cache": {}}
 
+    def _note(self) -> None:
+        """Strong grams with doubled letters squeezed, and their lengths."""
+        self._strong = {squeezed(g) for g, x in self.evidence.items() if x > STRONG}
+        self._lengths = sorted({len(g) for g in self._strong})
+
+    def harmless(self, word: str) -> bool:
+        """Whether no way to read the word's doubled letters has a strong gram: all ways are equal once squeezed."""
+        z = squeezed(f"^{word}$")
+        return not any(z[i : i + n] in self._strong for n in self._lengths for i in range(len(z) - n + 1))
+
     def restore(self, token: str) -> list[str]:
         """The words that a lower-case token stands for."""
         core = token.strip(_PLAIN_EDGES)
@@ -279,16 +290,21 @@ class Model:
         for g, k in seen[1].items():
             if (x := math.log((k + 0.5) / (seen[0][g] * share + SMOOTH))) > 0:
                 self.evidence[g] = x
+        self._note()
 
     def of_word(self, word: str) -> float:
         """The strongest evidence among a restored word's grams."""
         return max([self.evidence.get(g, 0.0) for g in grams(word)], default=0.0)
 
     def of_token(self, token: str) -> float:
-        """The strongest evidence among the words of a token."""
+        """The strongest evidence among the words of a token, or less if none of it is strong."""
         found = self._cache.get(token)
         if found is None:
-            found = max(map(self.of_word, self.restore(token)), default=0.0)
+            core = token.strip(_PLAIN_EDGES)
+            if core.isalpha() and _DOUBLED.search(core) and self.harmless(core):
+                found = 0.0  # decoding could not make it strong
+            else:
+                found = max(map(self.of_word, self.restore(token)), default=0.0)
             if len(self._cache) >= CACHE:
                 self._cache.clear()
             self._cache[token] = found
@@ -312,6 +328,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(odds, -40, 40))))
 
 
+def squeezed(text: str) -> str:
+    """The text with runs of a character cut to one."""
+    return _RUNS.sub(r"\1", text)
+
+
 def grams(word: str) -> list[str]:
     """The grams of a word with its boundaries; a shorter one is its own gram."""
     z = f"^{word}$"

@@ -332,3 +332,40 @@ def test_gather_in_parts(spark):
     got = df.select("n", secret_scan._gather(F.col("items"), {"sum": F.lit(0).cast("long")}, step, "long").alias("out")).collect()
     for n, out in got:
         assert out == [i * (i - 1) // 2 for i in range(n) if i % 3 == 0]
+
+
+def test_tokens_that_need_no_decoding(spark, labelled):
+    """Tokens passed over because no reading of their doubled letters is strong would not have counted."""
+    docs, labels = labelled
+    model = toxicity.train(quality_clf.labelled_sample(docs, labels, "toxic", 500, 5000))
+    texts = [r["text"] for r in docs.limit(60).collect()] + ["moorroonniicc mooronic balloon letter ffool", "aa bb moronicc"]
+    texts += [t.replace("l", "ll").replace("o", "oo") for t in texts]
+    quick = [model.measures(t) for t in texts]
+    model._cache.clear()
+    model.harmless = lambda word: False
+    assert quick == [model.measures(t) for t in texts] and any(m[0] > 1 for m in quick)
+
+
+def test_quality_score_comes_from_size_differences(spark, labelled):
+    docs, labels = labelled
+    model = quality_clf.train(quality_clf.labelled_sample(docs, labels, "quality", 500, 5000))
+    assert len(model.gap(b"some text")) == 4 * len(quality_clf.DICT_BYTES) == len(model.weights) - 1
+    same = quality_clf.Model([(good, good) for good, _ in model.pairs], model.weights, model.prior)
+    assert len({same.score(t) for t in (b"x", b"short text", b"a much longer text " * 500)}) == 1  # no length, no ratio
+
+
+def test_sample_bounds_hold_for_repeated_documents(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")] * 30 + [(3, "third")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    sample = quality_clf.labelled_sample(docs, labels, "quality", 8, 1000)
+    assert max(Counter(y for _, y in sample).values()) <= 8 and sample == quality_clf.labelled_sample(docs, labels, "quality", 8, 1000)
+
+
+def test_ordinary_tokens_come_from_the_corpus(spark):
+    docs = spark.createDataFrame([(1, "zyxw_vutsrq one k3Y"), (2, "zyxw_vutsrq two"), (3, "k3Y alone"), (4, "only-here qQ7"), (5, "only-here qQ7"), (6, None), (7, "")], "doc_id long, text string")
+    assert {r["token"] for r in secret_scan.corpus_tokens(docs).collect()} == {"zyxw_vutsrq", "k3Y"}  # copies are one text
+    samples = secret_scan.labelled_samples(spark, 300)
+    at = secret_scan.ALPHABET.index("z") * len(secret_scan.ALPHABET) + secret_scan.ALPHABET.index("y")
+    with_corpus = secret_scan.ratio_table(samples, secret_scan.corpus_tokens(docs))
+    assert with_corpus[at] < secret_scan.ratio_table(samples)[at] - 1
+    assert secret_scan.ratio_table(samples, secret_scan.corpus_tokens(docs.limit(0))) == secret_scan.ratio_table(samples)

@@ -372,3 +372,67 @@ def test_shingles_of_a_batch_of_few_words(n):
     alone = minhash.shingle_sets(Texts(pa.array([text])), 5)
     beside = minhash.shingle_sets(Texts(pa.array([text, "x " * 50])), 5)
     assert len(alone) == 1 and alone[0].tolist() == beside[0].tolist() and len(alone[0]) == (n > 0)
+
+
+def quality_by_hand(text):
+    w = WORD.findall(text or "")
+    n = len(w)
+    marked = set()
+    for size in (3, 10):
+        c = Counter(tuple(w[k : k + size]) for k in range(n - size + 1))
+        marked |= {(size, k + j) for k in range(n - size + 1) if c[tuple(w[k : k + size])] > 1 for j in range(size)}
+    windows, covered = (sum(1 for s, _ in marked if s == size) for size in (3, 10))
+    longest = 0
+    while len({tuple(w[k : k + longest + 1]) for k in range(n - longest)}) < n - longest:
+        longest += 1
+    return n >= 50 and 100 * windows <= 50 * n and 100 * covered <= 40 * n and not (longest >= 10 and 100 * longest > 30 * n)
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """All stages of the pipeline one after the other in plain Python, with null texts and ids, ties, repeated rows and other columns."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import random
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    items = [(1, text(12)), (2, text(5)), (3, None)]
+    base = [text(rng.randrange(60, 160)) for _ in range(40)]
+    line = text(70)
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(base)]
+    rows += [(50, base[0], "s1"), (51, base[1] + " more", None), (52, base[2] + "\n" + items[0][1], "s2"), (53, None, "s0"), (54, "", "s0"), (None, base[3], "s1"), (None, text(80), None)]
+    rows += [(60, base[4], "s1"), (60, base[4], "s1"), (60, base[5] + " " + text(60), "s1"), (61, "again " * 200, "s0"), (62, text(60) + " " + items[1][1] + " " + text(60), "s0")]
+    rows += [(100 + i, text(60) + "\n" + line + "\n" + text(60), "s4") for i in range(12)]
+    full = [(i, t, "en", s, len(t or ""), 1, 2) for i, t, s in rows]
+    spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, _id int, finish int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = [r for r in rows if quality_by_hand(r[1])]
+    norm = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
+    where, seen, out = defaultdict(set), set(), []
+    for i, t, _ in left:
+        for x in t.split("\n"):
+            where[norm(x)].add(i)
+    for i, t, s in sorted(left, key=key):
+        lines = [x for x in t.split("\n") if len(where[norm(x)]) < 10 or not norm(x) or not (norm(x) in seen or seen.add(norm(x)))]
+        out.append((i, "\n".join(lines), s))
+    left = [r for r in out if r[1].strip()]
+    named = components([(k, t, s) for k, (i, t, s) in enumerate(left) if i is not None], 5, 80)
+    first = {}
+    for k, root in named.items():
+        first[root] = min(first.get(root, k), k, key=lambda k: (left[k][0], k))
+    kept = set(first.values()) | {k for k, r in enumerate(left) if r[0] is None}
+    left = [r for k, r in enumerate(left) if k in kept]
+    pats = [p for _, t in items for p in windows_of(t)[1]]
+    left = [r for r in left if not any(w[k : k + len(p)] == list(p) for w in [windows_of(r[1])[0]] for p in pats for k in range(len(w) - len(p) + 1))]
+    taken, _, _ = queue_by_hand(left, shuffle_key)
+    want = Counter()
+    for k, n in taken.items():
+        want[left[k][0], left[k][1]] += n
+    got = Counter()
+    result = pipeline.run(spark, str(tmp_path))
+    for r in result.collect():
+        got[r["doc_id"], r["text"]] += r["take"]
+    assert got == +want and 20 < len(left) < len(rows) - 5
+    spark.createDataFrame(full[:0], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
