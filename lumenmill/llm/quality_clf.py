@@ -155,7 +155,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
 
 
 def score_texts(docs: DataFrame, model: object, threshold: float) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row, by ``model.score(bytes)``."""
+    """(doc_id, held_out, score, predicted) of each row, by ``model.scores(list of bytes)`` or, without it, ``model.score(bytes)``."""
     spark = docs.sparkSession
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -165,7 +165,8 @@ def score_texts(docs: DataFrame, model: object, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            scores = np.array([own.score((t.as_py() or "").encode()) for t in batch.column("text")], float)
+            texts = [(t.as_py() or "").encode() for t in batch.column("text")]
+            scores = np.array(own.scores(texts) if hasattr(own, "scores") else [own.score(t) for t in texts], float)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                 names=schema.names,

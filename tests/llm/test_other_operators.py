@@ -369,3 +369,49 @@ def test_ordinary_tokens_come_from_the_corpus(spark):
     with_corpus = secret_scan.ratio_table(samples, secret_scan.corpus_tokens(docs))
     assert with_corpus[at] < secret_scan.ratio_table(samples)[at] - 1
     assert secret_scan.ratio_table(samples, secret_scan.corpus_tokens(docs.limit(0))) == secret_scan.ratio_table(samples)
+
+
+def test_texts_scored_together_need_few_decodings(spark, labelled, monkeypatch):
+    """Scores of a batch are those of its tokens decoded one by one; only what may be strong is decoded."""
+    docs, labels = labelled
+    model = toxicity.train(quality_clf.labelled_sample(docs, labels, "toxic", 500, 5000))
+    rng = random.Random(5)
+    words = [w for r in docs.where("text is not null").limit(40).collect() for w in r["text"].split()] + ["moronic", "Fool", "m0r0nic", "f00l", "mooronnic"] * 20
+    marks = ["", "", "***", "!!", "$$$", "...", "-", "''", "^", "²²", "😀", " \x85", "ß", "İ", "%", "_"]
+    shapes = [str, str.upper, " ".join, "*".join, ". ".join, lambda w: w.replace("o", "0"), lambda w: w.replace("l", "ll"), lambda w: w * 300]
+    some = [" ".join(rng.choice(shapes)(rng.choice(words)) + rng.choice(marks) for _ in range(rng.randrange(40))) for _ in range(300)]
+    some += ["", "^^^", "$ $ $", "s c u m", "a" * 5000, "* * *", "x" * toxicity.JOINED + " m o r o n i c"]
+
+    def one_by_one(text):
+        text = text.lower()
+        readings = [model.restore(t) for t in set(text.split())] + [model.restore_spaced(m[0]) for m in toxicity._SPACED.finditer(text)]
+        found = sorted([x for r in readings if (x := max(map(model.of_word, r), default=0.0)) > toxicity.STRONG], reverse=True)
+        return found
+
+    runs = [[m[0] for m in toxicity._SPACED.finditer(t)] for t in some]
+    assert toxicity.spaced_runs(some) == runs and any(runs)
+    got = model.measures_of(some)
+    for text, own in zip(some, got, strict=True):
+        if not any(toxicity._SPACED.finditer(text.lower())):  # a spaced run may hold several words that count
+            found = one_by_one(text)
+            assert own[:3] == (found + [0.0, 0.0, 0.0])[:3] and own[3] == pytest.approx(np.log1p(sum(found)))
+    assert any(own[0] > 1 for own in got) and got == [model.measures(t) for t in some]
+
+    decoded, viterbi = [], toxicity.viterbi
+    monkeypatch.setattr(toxicity, "viterbi", lambda *args: decoded.append(1) or viterbi(*args))
+    plain = toxicity.Model(model.chars, {g: x for g, x in model.evidence.items() if g in "^moronic$"}, model.weights, model.prior)
+    assert plain.score(" ".join(f"lana{k}dalu*** mode-{k}tole" for k in range(500)).encode()) >= 0 and not decoded
+    assert plain.measures("m0r0nic*** lana")[0] > 1 and decoded
+
+
+def test_grams_counted_as_numbers(monkeypatch):
+    rng = random.Random(7)
+    for low, high, longest in ((97, 123, 9), (0x400, 0x7F0, 9), (0x4E00, 0x9FFF, 4), (0x1F600, 0x1F640, 3), (97, 100, 1500)):
+        words = {"".join(chr(rng.randrange(low, high)) for _ in range(rng.randrange(1, longest))): k + 1 for k in range(1500 if longest < 10 else 20)}
+        for letters in (toxicity.LETTERS, 50):
+            monkeypatch.setattr(toxicity, "LETTERS", letters)
+            found = Counter()
+            for grams, n in toxicity.gram_columns(words):
+                found.update(dict(zip(grams, n.tolist(), strict=True)))
+            assert found == toxicity.letter_grams(words)
+    assert not list(toxicity.gram_columns({}))
