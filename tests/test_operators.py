@@ -1,6 +1,7 @@
 """Operators and compatibility forms on nulls, ties and empty inputs."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import Window as W
@@ -120,3 +121,26 @@ def test_depth_limits_are_errors(spark):
     grow = lambda df: df.select((F.col("id") + 1).alias("id"))
     with pytest.raises(EngineError, match="RECURSION_LIMIT"):
         olap.recursive_fixpoint(spark.range(1), grow, max_rounds=3)
+
+
+def test_distance_join_of_crowded_cells(spark, monkeypatch):
+    # copies, neighbours at the radius whose quotients lie two apart, points without a place and at the end of the numbers
+    inf = float("inf")
+    rows = [(i, (i % 3) * 0.1, (i % 7) * 0.05) for i in range(90)] + [(90, -5e-324, 7.0), (91, 0.1, 7.0), (92, None, 1.0), (93, float("nan"), 1.0), (94, inf, 1.0), (95, 1e300, 1.0), (96, 1e300, 1.0)]
+    p = spark.createDataFrame(rows, "i int, x double, y double").select("i", spatial.point(F.col("x"), F.col("y")).alias("p"))
+    near = lambda a, b: math.sqrt((a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2])) <= 0.1
+    want = sorted((a[0], b[0]) for a in rows for b in rows if None not in a + b and near(a, b))
+    monkeypatch.setattr(spatial, "_BLOCK", 4, raising=False)
+    monkeypatch.setattr(spatial, "_SHARE", 100, raising=False)
+    got = spatial.distance_join(p.toDF("a", "pa"), p.toDF("b", "pb"), "pa", "pb", 0.1)
+    assert got.columns == ["a", "pa", "b", "pb"]
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == want and (90, 91) in want
+    assert got.rdd.getNumPartitions() > 4  # by the candidates, not the rows
+
+
+def test_distance_join_broadcasts_no_side(spark):
+    p = spark.range(5).select("id", spatial.point(F.col("id"), F.col("id")).alias("p"))  # Spark knows that it is small
+    plan = spatial.distance_join(p.toDF("a", "pa"), p.toDF("b", "pb"), "pa", "pb", 0.1)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "SortMergeJoin [_cx" in joins[0] and "POWER" in joins[0]
+    assert all("LeftOuter" in line for line in joins if "BroadcastHashJoin" in line)  # the crowded cells, counted
