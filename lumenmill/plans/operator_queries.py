@@ -197,7 +197,7 @@ def stream_tumbling(spark, d):
 
 @query("WITH b AS (SELECT a.event_id AS anchor, e.event_type FROM events a JOIN events e ON e.ts <= a.ts AND e.ts > a.ts - INTERVAL 10 MINUTE) SELECT anchor, event_type, count(*) AS n FROM b GROUP BY ALL")
 def stream_sliding_grouped(spark, d):
-    return windows.sliding_grouped(_events(spark, d), 600_000, "event_id", ["event_type"], [F.count(F.lit(1)).alias("n")])
+    return windows.sliding_grouped(_events(spark, d), 600_000, "event_id", ["event_type"], ["count(*) AS n"])
 
 
 @query("SELECT l.event_id AS a, r.event_id AS b FROM events l JOIN events r ON l.user_id = r.user_id AND r.ts BETWEEN l.ts - INTERVAL 5 MINUTE AND l.ts + INTERVAL 5 MINUTE WHERE l.event_type = 'click' AND r.event_type = 'purchase'")

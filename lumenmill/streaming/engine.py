@@ -82,7 +82,8 @@ def plan(rows: DataFrame, q: Select, ts: str = "ts", lateness: str | None = None
     kind, sizes = q.window
     if kind == "SLIDING":
         rows = rows.withColumn("_anchor_id", F.monotonically_increasing_id())
-        return windows.sliding_grouped(rows, sizes[0], "_anchor_id", q.group, made, ts).drop("anchor")
+        text = [m if i.lower().startswith("group_concat") else i for i, m in zip(aggregates, made, strict=True)]
+        return windows.sliding_grouped(rows, sizes[0], "_anchor_id", q.group, text, ts).drop("anchor")
     window = {"TUMBLING": windows.tumbling, "HOPPING": windows.hopping, "SESSION": windows.session}[kind](*sizes, ts)
     return windows.windowed(rows, window, q.group, made)
 

@@ -88,3 +88,42 @@ def test_session_gap_in_microseconds(spark):
     df = spark.createDataFrame(near, "k int, ts timestamp")
     got = windows.windowed(df, windows.session(5000), ["k"], [F.count("*").alias("n")]).orderBy("window_start").collect()
     assert [r["n"] for r in got] == [2, 1, 1]
+
+
+def test_sliding_to_the_microsecond(spark):
+    us = lambda n: at(0) + dt.timedelta(microseconds=n)
+    # 400 is not in the window of 5_000_400 but in that of 5_000_399; 5_000_500 is not yet seen from 5_000_400; a name is shared
+    times = [400, 700, 5_000_399, 5_000_400, 5_000_500, 5_000_500, 10_000_000, None]
+    rows = [(min(i, 6), ["a", None, "b"][i % 3], None if i == 2 else i * 0.5, None if t is None else us(t)) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "id int, k string, v double, ts timestamp")
+    texts = ["count(*) AS n", "COUNT ( v ) AS c", "sum(v) AS s", "AVG(v) AS m", "min(v)", "max(id + 1) AS h"]
+    want = {}
+    for i, (_, _, _, ts) in enumerate(rows):
+        for other in rows if ts else []:
+            if other[3] and ts - dt.timedelta(seconds=5) < other[3] <= ts:
+                want.setdefault((rows[i][0], other[1]), []).append(other)
+    value = lambda found, f: f(v) if (v := [r[2] for r in found if r[2] is not None]) else None
+    want = {k: (len(f), value(f, len) or 0, value(f, sum), value(f, lambda v: sum(v) / len(v)), value(f, min), max(r[0] for r in f) + 1) for k, f in want.items()}
+    found = lambda df: {(r[0], r[1]): tuple(r[2:]) for r in df.collect()}
+    plain = windows.sliding_grouped(df, 5000, "id", ["k"], [F.expr(t) for t in texts])
+    assert found(plain) == want
+    quick = windows.sliding_grouped(df, 5000, "id", ["k"], texts)
+    assert quick.dtypes == plain.dtypes and found(quick) == want
+    one = windows.sliding(df.where("id < 5"), 5000, [], {"n": F.count(F.lit(1))})
+    assert [r["n"] for r in one.orderBy("ts").collect()] == [1, 2, 3, 3, 4]
+
+
+def test_sliding_grouped_meets_no_pairs(spark):
+    df = spark.range(3000).selectExpr("id", "id % 2 AS k", "timestamp_millis(id) AS ts")  # all in one window
+    plan = windows.sliding_grouped(df, 60_000, "id", ["k"], ["count(*) AS n"])
+    assert plan.agg(F.sum("n")).first()[0] == 3000 * 3001 // 2
+    joins = [line for line in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1 and "<=" not in joins[0]
+
+
+def test_sliding_sql(engine):
+    engine.ingest("sensors", [("a", 1.0, at(0)), ("b", 2.0, at(1)), ("a", 3.0, at(4.9999)), ("a", 5.0, at(5))])
+    text = "SELECT sensor, COUNT(*) AS n, SUM(temp) AS s{} FROM sensors WINDOW SLIDING (SIZE 5 SECONDS) GROUP BY sensor"
+    want = [("a", 1, 1.0), ("a", 1, 1.0), ("a", 2, 4.0), ("a", 2, 8.0), ("b", 1, 2.0), ("b", 1, 2.0), ("b", 1, 2.0)]
+    assert sorted(tuple(r) for r in engine.execute(text.format("")).collect()) == want
+    assert sorted(tuple(r)[:3] for r in engine.execute(text.format(", GROUP_CONCAT(temp) AS g")).collect()) == want
