@@ -44,3 +44,22 @@ def test_pushdown_and_pruning(spark):
     plan = catalog.queries()["tpch_q6"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(" in plan
     assert "ReadSchema: struct<l_quantity" in plan and "l_orderkey" not in plan
+
+
+def differ(spark, tmp_path, name, table, select):
+    """Rows of a query and of its SQL over a table of its own."""
+    duckdb.sql(f"COPY ({select}) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    c = duckdb.connect()
+    c.sql("SET TimeZone='UTC'")
+    c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    got = catalog.queries()[name](spark, str(tmp_path))
+    rel = c.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})")
+    return sorted(map(tuple, got.collect()), key=repr), sorted(rel.fetchall(), key=repr)
+
+
+def test_sliding_by_rounded_milliseconds(spark, tmp_path):
+    # halves of a millisecond on both sides of 1970, an hour apart or nearly so, copies, no time and no type
+    parts = "range(0, 3) h(h), (VALUES (0), (1), (499), (500), (501), (999), (1500), (3599999500), (3599999499), (1800000000)) u(u), (VALUES (-1), (0), (1)) d(d)"
+    made = f"SELECT make_timestamp((h - 1) * 3600000000 + u * (1 - 2 * (h % 2)) + d) AS ts FROM {parts} UNION ALL SELECT ts FROM (VALUES (NULL::TIMESTAMP), (NULL)) n(ts)"
+    got, want = differ(spark, tmp_path, "win_sliding", "events", f"SELECT row_number() OVER () AS event_id, ts, CASE row_number() OVER () % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS event_type FROM ({made})")
+    assert got == want and len(got) == 92
