@@ -63,3 +63,17 @@ def test_sliding_by_rounded_milliseconds(spark, tmp_path):
     made = f"SELECT make_timestamp((h - 1) * 3600000000 + u * (1 - 2 * (h % 2)) + d) AS ts FROM {parts} UNION ALL SELECT ts FROM (VALUES (NULL::TIMESTAMP), (NULL)) n(ts)"
     got, want = differ(spark, tmp_path, "win_sliding", "events", f"SELECT row_number() OVER () AS event_id, ts, CASE row_number() OVER () % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS event_type FROM ({made})")
     assert got == want and len(got) == 92
+
+
+def test_null_safe_join_counts_before_it_meets(spark, tmp_path):
+    # 6000 x 6000 pairs of one key and 2000 x 2000 of null are counted, not made; then keys that don't meet
+    for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey")):
+        spark.range(8_000).selectExpr(f"CAST(IF(id < 2000, IF(id % 2 = 0, 3, NULL), 7) AS INT) AS {c}").write.parquet(f"{tmp_path}/a/{t}.parquet")
+        spark.range(2).selectExpr(f"CAST({1 if t == 'customer' else 2} AS INT) AS {c}").write.parquet(f"{tmp_path}/b/{t}.parquet")
+    query = catalog.queries()["join_null_safe"]
+    found = query(spark, f"{tmp_path}/a")
+    assert found.dtypes == [("n", "bigint")] and found.collect() == [(6_000**2 + 2_000**2,)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert below.count("Aggregate [") == 2  # one on each side of the join
+    assert query(spark, f"{tmp_path}/b").collect() == [(0,)]
